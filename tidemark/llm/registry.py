@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import mixing, packing, quality
 
-QUERIES = {"op1_quality": quality.op1_quality}
+QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op3_packing": packing.op3_packing,
+    "op10_mixing": mixing.op10_mixing,
+}
 ORACLES: dict[str, str] = {}
