@@ -116,7 +116,8 @@ def draw(spark: SparkSession, blocks: list[int], expected: list[float], seed: in
                     block[epoch == e] = permuted(j[epoch == e] % blocks[no], blocks[no], seed + no * MOST_USES + int(e))
                 yield pa.record_batch([pa.array(np.full(len(j), shard)), pa.array(np.full(len(j), no, np.int32)), pa.array(block), pa.array(epoch)], ["shard", "source_no", "block", "epoch"])
 
-    return placed.select("shard", "source_no", "n", "start").mapInArrow(slotted, "shard long, source_no int, block long, epoch long")
+    spread = placed.select("shard", "source_no", "n", "start").repartition(-(-shards // 64), "shard")  # 64 shards have half a million slots
+    return spread.mapInArrow(slotted, "shard long, source_no int, block long, epoch long")
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -160,11 +161,12 @@ def mix_counts(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS)
     """
     sized, slots = plan(docs, weights, block_words)
     sized = materialize(sized, "sized")
+    # hints: a plan from spark.range looks small to the optimiser, which would broadcast it
     uses = slots.groupBy("source_no", "block").agg(F.count("*").alias("uses"))
-    taken = _spans(sized, block_words).join(uses, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum((F.col("last") - F.col("first")) * F.col("uses")).alias("taken"))
+    taken = _spans(sized, block_words).join(uses.hint("merge"), ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum((F.col("last") - F.col("first")) * F.col("uses")).alias("taken"))
     # words that start at the same place as an empty row belong to another row
     key = F.when(F.col("size") > 0, F.col("start"))
-    out = sized.withColumn("at", key).join(taken.withColumnRenamed("start", "at"), ["source_no", "at"], "left")
+    out = sized.withColumn("at", key).join(taken.withColumnRenamed("start", "at").hint("merge"), ["source_no", "at"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
@@ -177,10 +179,10 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_W
     no block draws, empty ones among them, go.
     """
     sized, slots = plan(docs, weights, block_words)
-    spans = _spans(sized, block_words).join(slots.select("source_no", "block", "epoch"), ["source_no", "block"])
+    spans = _spans(sized, block_words).join(slots.select("source_no", "block", "epoch").hint("merge"), ["source_no", "block"])
     own = spans.groupBy("doc_id", "row_key", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_spans"))
     kept = docs.withColumn("_key", F.xxhash64("text"))
-    joined = kept.join(own.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("row_key"))).select(*docs.columns, "_spans")
+    joined = kept.join(own.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("row_key"))).select(*docs.columns, "_spans")
     word, columns = re.compile(WORD), docs.columns
 
     def cut(text: str, spans: list[dict]) -> str:
