@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Tokens of a full sequence, and the id that ends every document.
 CAPACITY, END_ID = 4096, 2
 #: Words whose ids a worker remembers; the memory is emptied beyond this many.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Characters of documents tokenised together.
 CHUNK_CHARS = 1 << 20
 _MARK = "\x01"
@@ -23,6 +23,19 @@ _tokenizers: dict[str, WordTokenizer] = {}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _folded(text: str) -> str:
+    """Lower case where the tokenizer's own folding gives the same: Latin-1 text without special tokens."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()
+
+
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    return a if len(a) >= n else np.concatenate([a, np.zeros(max(n - len(a), len(a) // 2), a.dtype)])
+
+
 class WordTokenizer:
     """A tokenizer that never joins across white space, with the ids of words remembered.
 
@@ -40,6 +53,7 @@ class WordTokenizer:
 
     def _empty(self) -> None:
         self.place: dict[str, int] = {}
+        self.used = 0
         self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _encode(self, text: str) -> list[int]:
@@ -48,7 +62,7 @@ class WordTokenizer:
     def _learn(self, words: list[str]) -> None:
         plain = [w for w in words if _MARK not in w]
         joined = [plain[i : i + 500] for i in range(0, len(plain), 500)] if len(self.mark) == 1 else []
-        order, parts, lengths = [], [self.flat], []
+        order, parts, lengths = [], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for own, got in zip(joined, self.model.encode_batch_fast([f" {_MARK} ".join(x) for x in joined], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, np.uint32)
             ends = np.flatnonzero(ids == self.mark[0])
@@ -58,29 +72,51 @@ class WordTokenizer:
             order += own
             lengths.append(np.diff(bounds) - 1)
             parts.append(np.delete(ids, ends))
-        rest = set(words).difference(order)
-        for word in sorted(rest):
+        for word in sorted(set(words).difference(order)):
             ids = self._encode(word)
             order.append(word)
             lengths.append(np.array([len(ids)]))
             parts.append(np.array(ids, np.uint32))
-        length = np.concatenate([self.length, *lengths]).astype(np.int64)
-        self.place.update(zip(order, range(len(self.length), len(length)), strict=True))
-        self.flat, self.length, self.start = np.concatenate(parts), length, np.cumsum(length) - length
+        self._add(order, np.concatenate(lengths).astype(np.int64), np.concatenate(parts))
+
+    def _add(self, words: list[str], length: np.ndarray, ids: np.ndarray) -> None:
+        known, used = len(self.place), self.used
+        self.place.update(zip(words, range(known, known + len(words)), strict=True))
+        self.length, self.start = _grown(self.length, known + len(words)), _grown(self.start, known + len(words))
+        self.flat = _grown(self.flat, used + len(ids))
+        self.length[known : known + len(words)] = length
+        self.start[known : known + len(words)] = np.cumsum(length) - length + used
+        self.flat[used : used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _learn_all(self, words: set[str]) -> None:
+        """Words of letters before a full stop or comma are made of the two, which are tokens apart."""
+        ended = [w for w in words if w[-1] in ".," and w[:-1].isalpha()]
+        apart = {w[:-1] for w in ended}
+        if new := sorted((words.difference(ended) | apart | ({".", ","} if ended else set())).difference(self.place)):
+            self._learn(new)
+        if ended:
+            core = np.fromiter((self.place[w[:-1]] for w in ended), np.int64, len(ended))
+            mark = np.fromiter((self.place[w[-1]] for w in ended), np.int64, len(ended))
+            pair = np.stack([core, mark], 1).ravel()
+            ids, ends = self._gather(pair)
+            self._add(ended, np.diff(ends[1::2], prepend=0), ids)
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        length = self.length[at]
+        ends = np.cumsum(length)
+        return self.flat[np.repeat(self.start[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)], ends
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         # Python also splits at U+001C to U+001F, which the tokenizer keeps
         odd = {i for i, t in enumerate(texts) if not t.isprintable() and any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        split = [[] if i in odd else t.split() for i, t in enumerate(texts)]
+        split = [[] if i in odd else _folded(t).split() for i, t in enumerate(texts)]
         words = [w for x in split for w in x]
         if len(self.place) > REMEMBERED:
             self._empty()
         if new := set(words).difference(self.place):
-            self._learn(sorted(new))
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        length = self.length[at]
-        ends = np.cumsum(length)
-        ids = self.flat[np.repeat(self.start[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+            self._learn_all(new)
+        ids, ends = self._gather(np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)))
         ends = np.concatenate(([0], ends))[np.cumsum([0, *map(len, split)])]
         return [np.array(self._encode(t), np.uint32) if i in odd else ids[ends[i] : ends[i + 1]] for i, t in enumerate(texts)]
 
