@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, simhash, webp
+from . import lines, mixing, packing, quality, simhash, webp
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_packing": packing.op3_packing,
     "op4_simhash": simhash.op4_simhash,
+    "op6_lines": lines.op6_lines,
     "op9_media": webp.op9_media,
     "op10_mixing": mixing.op10_mixing,
 }
