@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, packing, quality, simhash, webp
+from . import lines, mixing, packing, parsing, quality, simhash, webp
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_packing": packing.op3_packing,
     "op4_simhash": simhash.op4_simhash,
     "op6_lines": lines.op6_lines,
+    "op7_fingerprints": parsing.op7_fingerprints,
     "op9_media": webp.op9_media,
     "op10_mixing": mixing.op10_mixing,
 }
