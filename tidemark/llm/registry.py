@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, packing, parsing, quality, simhash, webp
+from . import lines, mixing, packing, parsing, phrases, quality, simhash, webp
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op6_lines": lines.op6_lines,
     "op7_fingerprints": parsing.op7_fingerprints,
+    "op8_phrases": phrases.op8_phrases,
     "op9_media": webp.op9_media,
     "op10_mixing": mixing.op10_mixing,
 }
