@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, packing, parsing, phrases, quality, simhash, webp
+from . import lines, mixing, packing, parsing, phrases, quality, simhash, suffixes, webp
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_packing": packing.op3_packing,
     "op4_simhash": simhash.op4_simhash,
+    "op5_suffixes": suffixes.op5_suffixes,
     "op6_lines": lines.op6_lines,
     "op7_fingerprints": parsing.op7_fingerprints,
     "op8_phrases": phrases.op8_phrases,
