@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, packing, parsing, phrases, quality, simhash, suffixes, webp
+from . import licences, lines, mixing, packing, parsing, phrases, quality, simhash, suffixes, webp
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_licences": licences.op2_licences,
     "op3_packing": packing.op3_packing,
     "op4_simhash": simhash.op4_simhash,
     "op5_suffixes": suffixes.op5_suffixes,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_media": webp.op9_media,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_licences": licences.ORACLE_SQL}
