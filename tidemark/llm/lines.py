@@ -11,13 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, drop_table, materialize, mix64
+from .common import documents, flat, materialize, mix64
 from .components import components
 
 #: Characters of a shingle, rows and bands of the signature, least Jaccard similarity of linked lines.
 SHINGLE_CHARS, ROWS, BANDS, LEAST = 8, 4, 12, 0.8
+#: The signature's HASHES * BINS = ROWS * BANDS minima; a stride without common factor spreads a band over the hashes.
+HASHES, BINS, _STRIDE = 3, 16, 17
+#: Lines of a band key that all others of the key are tested against in one round.
+LEADERS = 16
 #: Shingles hashed at a time, so that work stays in the processor's cache.
-_SLICE = 1 << 15
+_SLICE = 1 << 16
 _SPACE = re.compile(r"\s+")
 
 
@@ -41,45 +45,71 @@ def _line_id(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _seeds() -> tuple[np.ndarray, np.ndarray]:
-    s = mix64(np.arange(1, 2 * ROWS * BANDS + 1, dtype=np.uint64))
-    return s[: ROWS * BANDS].astype(np.uint32), (s[ROWS * BANDS :] | np.uint64(1)).astype(np.uint32)
+def _seeds() -> np.ndarray:
+    return mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
+
+
+def signature(hashed: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """n x (HASHES * BINS) minima: every hash deals a line's shingles into BINS bins and keeps the least of each.
+
+    An empty bin takes the value of the next bin that is not, so short lines have full
+    signatures. One sort does for all bins of a hash.
+    """
+    out = np.empty((n, HASHES * BINS), np.uint32)
+    seeds = _seeds()
+    for k in range(HASHES):
+        h = mix64(hashed ^ seeds[k]) & np.uint64((1 << 36) - 1)  # bin in the upper 4 bits, value in 32
+        key = np.sort(owner << np.uint64(36) | h)
+        group = key >> np.uint64(32)
+        first = np.concatenate(([True], group[1:] != group[:-1]))
+        own = np.zeros(n * BINS, np.uint32)
+        there = np.zeros(n * BINS, bool)
+        own[group[first]], there[group[first]] = key[first].astype(np.uint32), True
+        own, there = own.reshape(n, BINS), there.reshape(n, BINS)
+        full, at = own.copy(), there.copy()
+        for step in range(1, BINS):
+            if at.all():
+                break
+            new = ~at & np.roll(there, -step, 1)
+            full[new] = np.roll(own, -step, 1)[new] + np.uint32(step * 0x9E3779B1 & 0xFFFFFFFF)
+            at |= new
+        out[:, k * BINS : (k + 1) * BINS] = full
+    return out
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
-    """The band keys (lines x BANDS) of normalised, non-empty lines: ROWS minima of seeded 32-bit hashes a band."""
-    text = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    """The band keys (lines x BANDS) of normalised, non-empty lines, of ROWS minima each."""
     length = np.array([len(x) for x in lines])
-    start = np.cumsum(length + 1) - length - 1
+    text = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    start = np.cumsum(length) - length
     n = np.maximum(length - SHINGLE_CHARS + 1, 1)
-    code = mix64(text.astype(np.uint64)) if len(text) else text.astype(np.uint64)
-    step, base, power = np.zeros(len(text) + SHINGLE_CHARS, np.uint64), np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
-    code = np.pad(code, (0, SHINGLE_CHARS))
+    code = np.pad(mix64(text.astype(np.uint64)), (0, SHINGLE_CHARS))
+    step, base, power = np.zeros(len(text), np.uint64), 0x9E3779B97F4A7C15, 1
     for k in range(SHINGLE_CHARS):
-        step[: len(text)] += code[k : k + len(text)] * power
-        power = np.uint64(int(power) * int(base) % 2**64)
+        step += code[k : k + len(text)] * np.uint64(power)
+        power = power * base % 2**64
     for i in np.flatnonzero(length < SHINGLE_CHARS):  # the whole line is the shingle
         step[start[i]] = np.uint64(_line_id(lines[i]) + (1 << 63))
-    hashed = (mix64(step) >> np.uint64(32)).astype(np.uint32)
-    flips, factors = _seeds()
-    least = np.full((ROWS * BANDS, len(lines)), 0xFFFFFFFF, np.uint32)
+    step = mix64(step)
+    seed = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
+    out = np.empty((len(lines), BANDS), np.uint64)
     ends = np.cumsum(n)
     a = 0
     while a < len(lines):
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _SLICE, "right")))
-        own = np.concatenate([hashed[start[i] : start[i] + n[i]] for i in range(a, b)])
-        cuts = ends[a:b] - n[a:b] - (ends[a - 1] if a else 0)
-        for k in range(ROWS * BANDS):
-            least[k, a:b] = np.minimum.reduceat((own ^ flips[k]) * factors[k], cuts)
+        owner = np.repeat(np.arange(b - a, dtype=np.int64), n[a:b])
+        within = np.arange(len(owner)) - np.repeat(ends[a:b] - n[a:b] - (ends[a] - n[a]), n[a:b])
+        own = signature(step[start[a:b][owner] + within], owner.astype(np.uint64), b - a)
+        key = np.broadcast_to(seed, (b - a, BANDS)).copy()
+        for r in range(ROWS):  # a band takes its rows from different hashes
+            key = mix64(key * np.uint64(base) + own[:, (np.arange(BANDS) * ROWS + r) * _STRIDE % (HASHES * BINS)].astype(np.uint64))
+        out[a:b] = key
         a = b
-    key = np.zeros((BANDS, len(lines)), np.uint64)
-    for r in range(ROWS):
-        key = mix64(key * base + least[r::ROWS].astype(np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)[:, None])
-    return key.T.view(np.int64)
+    return out.view(np.int64)
 
 
 def _lines_of(batches):
-    """A row for each line that has characters: id, place and band keys (keys once for each text of a batch)."""
+    """A row for each line that has characters: id, place and band keys (none where an equal line of the chunk has them)."""
     for batch in batches:
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
         a = 0
@@ -103,36 +133,63 @@ def _lines_of(batches):
                 first = np.zeros(len(which), bool)
                 first[np.unique(which, return_index=True)[1]] = True
                 which = np.array(which)
-                own = [x if f else None for x, f in zip(keys[which], first, strict=True)]
-                yield pa.record_batch(
-                    [pa.array(name[which]), pa.array(doc, pa.int64()), pa.array(number, pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["line", "doc_id", "number", "bands"]
+                own = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate(([0], np.cumsum(first * BANDS))).astype(np.int32)), pa.array(keys[which[first]].ravel())
                 )
+                yield pa.record_batch([pa.array(name[which]), pa.array(doc, pa.int64()), pa.array(number, pa.int64()), own], ["line", "doc_id", "number", "bands"])
 
 
 def _local_links(batches):
     """Within a partition: the first line of a band key stands for it; the others become candidate links at once."""
     leader: dict[int, int] = {}
     for batch in batches:
-        line = batch.column("line").to_numpy()
-        keys = np.stack(batch.column("bands").to_numpy(zero_copy_only=False)) if len(line) else np.zeros((0, BANDS), np.int64)
-        rows = [(k, x, leader.setdefault(k, x)) for x, own in zip(line.tolist(), keys.tolist(), strict=True) for k in own]
-        k, x, to = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.record_batch([pa.array(k, pa.int64()), pa.array(x, pa.int64()), pa.array(to, pa.int64())], ["key", "line", "leader"])
+        line = np.repeat(batch.column("line").to_numpy(), BANDS)
+        keys, _ = flat(batch.column("bands"), np.int64)
+        to = np.fromiter(map(leader.setdefault, keys.tolist(), line.tolist()), np.int64, len(keys))
+        yield pa.record_batch([pa.array(keys), pa.array(line), pa.array(to)], ["key", "line", "leader"])
 
 
 def _stand_links(batches):
-    """Over rows sorted by key: every line of a key with the key's first line. Only that line is held."""
+    """Over rows sorted by key: candidate links pass; of the lines that stand for a key all meet the first. Only that line is held."""
     key = leader = None
     for batch in batches:
-        k, x = batch.column("key").to_numpy(), batch.column("line").to_numpy()
-        if not len(k):
-            continue
-        fresh = np.concatenate(([k[0] != key], k[1:] != k[:-1]))
-        at = np.maximum.accumulate(np.where(fresh, np.arange(len(k)), -1))
-        to = np.where(at >= 0, x[at], 0 if leader is None else leader)
-        key, leader = k[-1], to[-1]
-        own = x != to
-        yield pa.record_batch([pa.array(k[own]), pa.array(x[own]), pa.array(to[own])], ["key", "line", "leader"])
+        k, x, to = (batch.column(c).to_numpy() for c in ("key", "line", "leader"))
+        stands = x == to
+        passed = [(k[~stands], x[~stands], to[~stands])]
+        k, x = k[stands], x[stands]
+        if len(k):
+            fresh = np.concatenate(([k[0] != key], k[1:] != k[:-1]))
+            at = np.maximum.accumulate(np.where(fresh, np.arange(len(k)), -1))
+            to = np.where(at >= 0, x[at], 0 if leader is None else leader)
+            key, leader = k[-1], to[-1]
+            own = x != to
+            passed.append((k[own], x[own], to[own]))
+        yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*passed, strict=True)], ["key", "line", "leader"])
+
+
+def _round_links(batches):
+    """Over rows sorted by key, lines of small components first: each of a key's LEADERS first lines with all later lines of other components.
+
+    Rows come back with ``rank``, so that leaders, which have met all, are left out of the next round.
+    """
+    key, leaders, rank = None, [], 0
+    for batch in batches:
+        a, b, keys, lines, ranks = [], [], [], [], []
+        for k, line, part in zip(*(batch.column(c).to_pylist() for c in ("key", "line", "part")), strict=True):
+            if k != key:
+                key, leaders, rank = k, [], 0
+            own = [x for x, p in leaders if p != part]
+            a += [line] * len(own)
+            b += own
+            keys.append(k)
+            lines.append(line)
+            ranks.append(rank)
+            if rank < LEADERS:
+                leaders.append((line, part))
+            rank += 1
+        n = len(a)
+        columns = [keys + [None] * n, lines + a, [None] * len(keys) + b, ranks + [None] * n]
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["key", "line", "leader", "rank"])
 
 
 def _texts_of(batches):
@@ -148,50 +205,79 @@ def _texts_of(batches):
 
 def _verified(batches):
     for batch in batches:
-        a, b = batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist()
-        like = [x == y or (min(len(x), len(y)) >= LEAST * (max(len(x), len(y)) - SHINGLE_CHARS) * 0.5 and jaccard(x, y) >= LEAST) for x, y in zip(a, b, strict=True)]
+        like, sets = [], {}
+        for x, y in zip(batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist(), strict=True):
+            # the shorter text's shingles are a bound on what can be shared; repeats only lower the longer one's count
+            p = shingles(x)
+            q = sets.get(y)
+            if q is None:
+                if len(sets) > 1000:
+                    sets.clear()
+                q = sets[y] = shingles(y)
+            small, large = sorted((len(p), len(q)))
+            common = len(p & q) if small >= LEAST * large else 0
+            like.append(common >= LEAST * (len(p) + len(q) - common))
         yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "alike": pa.array(like, pa.bool_())})
 
 
+def _tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) with ``alike``: whether their exact similarity reaches LEAST."""
+    a, b = texts.select(F.col("line").alias("a"), F.col("normal").alias("a_text")), texts.select(F.col("line").alias("b"), F.col("normal").alias("b_text"))
+    joined = pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text")
+    return materialize(joined.mapInArrow(_verified, "a long, b long, alike boolean"), "tested")
+
+
 def line_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Return the lines (line, doc_id, number), their kinds (line, first place) and verified links of kinds (a, b).
+    """Return the lines (line, doc_id, number), their kinds (line, first place) and the components (id, component) of kinds.
 
     Lines of equal normal form are one kind. Kinds that share a band key are tested
-    against one line of that key; those unlike it are tested against another of their
-    own, until each is alike to one or alone, so a key of n kinds costs about n tests.
+    against one line of that key, and components follow. Where a key still holds lines
+    of different components, lines of the smaller ones meet all others of the key,
+    LEADERS at a time, until each key has one component or no untested pair: no
+    candidate is given up, and a key of n kinds costs n tests for each line that
+    stays apart.
     """
     lines = materialize(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null").mapInArrow(_lines_of, "line long, doc_id long, number long, bands array<long>"), "lines")
-    kinds = materialize(lines.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.first("bands", ignorenulls=True).alias("bands")), "kinds")
-    local = materialize(kinds.select("line", "bands").mapInArrow(_local_links, "key long, line long, leader long"), "bands")
-    stands = local.where("line = leader").select("key", "line").repartition("key").sortWithinPartitions("key", "line").mapInArrow(_stand_links, "key long, line long, leader long")
-    pending = materialize(stands.union(local.where("line <> leader")), "pairs")
-    drop_table(local)
-    seen = pending.select("line").union(pending.select("leader")).distinct()
+    kinds = materialize(lines.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.max("bands").alias("bands")), "kinds")
+    local = kinds.select("line", "bands").mapInArrow(_local_links, "key long, line long, leader long")
+    # stands meet by key; links within a partition lie anywhere, so that a common key fills no partition
+    dealt = local.repartition(F.when(F.col("line") == F.col("leader"), F.col("key")).otherwise(F.col("line"))).sortWithinPartitions("key")
+    pending = materialize(dealt.mapInArrow(_stand_links, "key long, line long, leader long"), "pairs")
+    members = materialize(pending.select("key", "line").union(pending.select("key", F.col("leader").alias("line"))).distinct(), "members")
+    seen = members.select("line").distinct()
     wanted = kinds.join(seen, "line", "left_semi").select("line", "first.*").groupBy("doc_id").agg(F.collect_list(F.struct("line", "number")).alias("wanted"))
     whole = docs.select(F.col("doc_id").cast("long"), "text")
     texts = materialize(whole.join(wanted.hint("shuffle_hash"), "doc_id").select("text", "wanted").mapInArrow(_texts_of, "line long, normal string").dropDuplicates(["line"]), "texts")
-    links = None
+    tested = _tested(pending.select(F.col("line").alias("a"), F.col("leader").alias("b")), texts)
+    found = materialize(components(tested.where("alike")), "parts")
     while True:
-        pairs = pending.select(F.col("line").alias("a"), F.col("leader").alias("b")).distinct()
-        a, b = texts.select(F.col("line").alias("a"), F.col("normal").alias("a_text")), texts.select(F.col("line").alias("b"), F.col("normal").alias("b_text"))
-        tested = materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(_verified, "a long, b long, alike boolean"), "tested")
-        good = tested.where("alike").select("a", "b")
-        links = good if links is None else links.union(good)
-        bad = tested.where("not alike").select(F.col("a").alias("line"), F.col("b").alias("leader"))
-        if bad.isEmpty():
-            return lines, kinds, links
-        # what is unlike its key's line meets the others of that key that were
-        left = pending.join(bad, ["line", "leader"]).select("key", "line")
-        again = left.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_stand_links, "key long, line long, leader long")
-        pending = materialize(again, "pairs")
-        if pending.isEmpty():
-            return lines, kinds, links
+        part = found.select(F.col("id").alias("line"), F.col("component").alias("part"))
+        placed = members.join(part, "line", "left").select("key", "line", F.coalesce("part", "line").alias("part"))
+        mixed = placed.groupBy("key").agg((F.min("part") != F.max("part")).alias("mixed")).where("mixed").select("key")
+        sizes = placed.groupBy("key", "part").agg(F.count("*").alias("size"))
+        open_ = placed.join(mixed, "key", "left_semi").join(sizes, ["key", "part"])
+        rows = open_.repartition("key").sortWithinPartitions("key", "size", "line").select("key", "line", "part")
+        met = materialize(rows.mapInArrow(_round_links, "key long, line long, leader long, rank long"), "round")
+        if met.isEmpty():
+            return lines, kinds, found
+        done = tested.select("a", "b")
+        fresh = met.where("leader IS NOT NULL").select(F.greatest("line", "leader").alias("a"), F.least("line", "leader").alias("b")).distinct()
+        untried = fresh.join(done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+        now = _tested(untried, texts)
+        tested = tested.union(now)
+        new = now.where("alike")
+        if not new.isEmpty():
+            name = part.select(F.col("line").alias("a"), F.col("part").alias("pa")), part.select(F.col("line").alias("b"), F.col("part").alias("pb"))
+            joins = new.join(name[0], "a", "left").join(name[1], "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
+            merged = components(joins).withColumnRenamed("id", "part")
+            known = part.union(members.join(part, "line", "left_anti").select("line", F.col("line").alias("part")).distinct())
+            found = materialize(known.join(merged, "part", "left").select(F.col("line").alias("id"), F.coalesce("component", "part").alias("component")), "parts")
+        members = materialize(met.where(F.col("rank") >= LEADERS).select("key", "line"), "members")
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """Return (doc_id, removed): the numbers of the lines that go, of documents that lose any."""
-    lines, kinds, links = line_links(docs)
-    joined = components(links)
+    lines, kinds, joined = line_links(docs)
     place = kinds.select("line", "first").join(joined, F.col("line") == F.col("id"), "left").withColumn("component", F.coalesce("component", "line"))
     stays = place.groupBy("component").agg(F.min("first").alias("stays"), F.count("*").alias("kinds"))
     of = place.join(stays, "component").select("line", "stays")
