@@ -1,6 +1,6 @@
 """All queries of the library by name, and their SQL."""
 
-from . import calendar, gates, windows  # noqa: F401
+from . import aggregates, calendar, gates, windows  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
