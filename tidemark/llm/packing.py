@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ CAPACITY, END_ID = 4096, 2
 #: Words whose ids a worker remembers; the memory is emptied beyond this many.
 REMEMBERED = 1_000_000
 #: Characters of documents tokenised together.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 22
 _MARK = "\x01"
 _tokenizers: dict[str, WordTokenizer] = {}
 
@@ -39,7 +41,7 @@ def _grown(a: np.ndarray, n: int) -> np.ndarray:
 class WordTokenizer:
     """A tokenizer that never joins across white space, with the ids of words remembered.
 
-    Words between white space are encoded once each; a text's ids are those of its
+    Words between ASCII white space are encoded once each; a text's ids are those of its
     words in order, equal to encoding the whole text.
     """
 
@@ -91,7 +93,7 @@ class WordTokenizer:
 
     def _learn_all(self, words: set[str]) -> None:
         """Words of letters before a full stop or comma are made of the two, which are tokens apart."""
-        ended = [w for w in words if w[-1] in ".," and w[:-1].isalpha()]
+        ended = [w for w in words if w and w[-1] in ".," and w[:-1].isalpha()]
         apart = {w[:-1] for w in ended}
         if new := sorted((words.difference(ended) | apart | ({".", ","} if ended else set())).difference(self.place)):
             self._learn(new)
@@ -108,17 +110,19 @@ class WordTokenizer:
         return self.flat[np.repeat(self.start[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)], ends
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        # Python also splits at U+001C to U+001F, which the tokenizer keeps
-        odd = {i for i, t in enumerate(texts) if not t.isprintable() and any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        split = [[] if i in odd else _folded(t).split() for i, t in enumerate(texts)]
-        words = [w for x in split for w in x]
         if len(self.place) > REMEMBERED:
             self._empty()
-        if new := set(words).difference(self.place):
-            self._learn_all(new)
-        ids, ends = self._gather(np.fromiter(map(self.place.__getitem__, words), np.int64, len(words)))
-        ends = np.concatenate(([0], ends))[np.cumsum([0, *map(len, split)])]
-        return [np.array(self._encode(t), np.uint32) if i in odd else ids[ends[i] : ends[i + 1]] for i, t in enumerate(texts)]
+        split = pc.ascii_split_whitespace(pa.array([_folded(t) for t in texts], pa.string()))
+        coded = split.flatten().dictionary_encode()
+        kinds = coded.dictionary.to_pylist()
+        at = np.fromiter(map(self.place.get, kinds, repeat(-1)), np.int64, len(kinds))
+        if len(unknown := np.flatnonzero(at < 0)):
+            new = [kinds[i] for i in unknown.tolist()]
+            self._learn_all(set(new))
+            at[unknown] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
+        ids, ends = self._gather(at[coded.indices.to_numpy()])
+        ends = np.concatenate(([0], ends))[split.offsets.to_numpy()]
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 class Packer:
