@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -18,16 +16,18 @@ from .components import components
 SHINGLE_CHARS, ROWS, BANDS, LEAST = 8, 4, 12, 0.8
 #: The signature's HASHES * BINS = ROWS * BANDS minima; a stride without common factor spreads a band over the hashes.
 HASHES, BINS, _STRIDE = 3, 16, 17
-#: Lines of a band key that all others of the key are tested against in one round.
-LEADERS = 16
+#: Lines of a band key that all others of the key are compared with in one round, by signature, and rows compared at a time.
+LEADERS, COMPARED = 4096, 64
+#: Equal minima of 48 that a pair needs to be verified; at similarity LEAST or more 38 are expected, with a deviation of 2.8.
+LEAST_EQUAL = 30
 #: Shingles hashed at a time, so that work stays in the processor's cache.
 _SLICE = 1 << 16
-_SPACE = re.compile(r"\s+")
+_BASE = 0x9E3779B97F4A7C15
 
 
 def normal(line: str) -> str:
     """A line as it is compared: lower case, white space collapsed."""
-    return _SPACE.sub(" ", line).strip().lower()
+    return " ".join(line.split()).lower()
 
 
 def shingles(line: str) -> set[str]:
@@ -45,10 +45,6 @@ def _line_id(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _seeds() -> np.ndarray:
-    return mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
-
-
 def signature(hashed: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """n x (HASHES * BINS) minima: every hash deals a line's shingles into BINS bins and keeps the least of each.
 
@@ -56,15 +52,16 @@ def signature(hashed: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     signatures. One sort does for all bins of a hash.
     """
     out = np.empty((n, HASHES * BINS), np.uint32)
-    seeds = _seeds()
-    for k in range(HASHES):
-        h = mix64(hashed ^ seeds[k]) & np.uint64((1 << 36) - 1)  # bin in the upper 4 bits, value in 32
-        key = np.sort(owner << np.uint64(36) | h)
-        group = key >> np.uint64(32)
+    owner = owner << np.uint64(32)
+    again = mix64(hashed + np.uint64(1))
+    # 32 bits a hash: 4 of the bin, 28 of the value
+    for k, h in enumerate((hashed & np.uint64(0xFFFFFFFF), hashed >> np.uint64(32), again >> np.uint64(32))):
+        key = np.sort(owner | h)
+        group = key >> np.uint64(28)
         first = np.concatenate(([True], group[1:] != group[:-1]))
         own = np.zeros(n * BINS, np.uint32)
         there = np.zeros(n * BINS, bool)
-        own[group[first]], there[group[first]] = key[first].astype(np.uint32), True
+        own[group[first]], there[group[first]] = (key[first] & np.uint64(0xFFFFFFF)).astype(np.uint32), True
         own, there = own.reshape(n, BINS), there.reshape(n, BINS)
         full, at = own.copy(), there.copy()
         for step in range(1, BINS):
@@ -77,21 +74,26 @@ def signature(hashed: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _grams(text: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the SHINGLE_CHARS code points from each place on."""
+    code = np.pad(mix64(text.astype(np.uint64)), (0, SHINGLE_CHARS))
+    out, power = np.zeros(len(text), np.uint64), 1
+    for k in range(SHINGLE_CHARS):
+        out += code[k : k + len(text)] * np.uint64(power)
+        power = power * _BASE % 2**64
+    return out
+
+
 def band_keys(lines: list[str]) -> np.ndarray:
-    """The band keys (lines x BANDS) of normalised, non-empty lines, of ROWS minima each."""
+    """The bands (lines x BANDS) of normalised, non-empty lines: each packs 16 bits of ROWS minima, so that they are the signature too."""
     length = np.array([len(x) for x in lines])
     text = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     start = np.cumsum(length) - length
     n = np.maximum(length - SHINGLE_CHARS + 1, 1)
-    code = np.pad(mix64(text.astype(np.uint64)), (0, SHINGLE_CHARS))
-    step, base, power = np.zeros(len(text), np.uint64), 0x9E3779B97F4A7C15, 1
-    for k in range(SHINGLE_CHARS):
-        step += code[k : k + len(text)] * np.uint64(power)
-        power = power * base % 2**64
+    step = _grams(text)
     for i in np.flatnonzero(length < SHINGLE_CHARS):  # the whole line is the shingle
         step[start[i]] = np.uint64(_line_id(lines[i]) + (1 << 63))
     step = mix64(step)
-    seed = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
     out = np.empty((len(lines), BANDS), np.uint64)
     ends = np.cumsum(n)
     a = 0
@@ -100,9 +102,9 @@ def band_keys(lines: list[str]) -> np.ndarray:
         owner = np.repeat(np.arange(b - a, dtype=np.int64), n[a:b])
         within = np.arange(len(owner)) - np.repeat(ends[a:b] - n[a:b] - (ends[a] - n[a]), n[a:b])
         own = signature(step[start[a:b][owner] + within], owner.astype(np.uint64), b - a)
-        key = np.broadcast_to(seed, (b - a, BANDS)).copy()
+        key = np.zeros((b - a, BANDS), np.uint64)
         for r in range(ROWS):  # a band takes its rows from different hashes
-            key = mix64(key * np.uint64(base) + own[:, (np.arange(BANDS) * ROWS + r) * _STRIDE % (HASHES * BINS)].astype(np.uint64))
+            key = key << np.uint64(16) | (own[:, (np.arange(BANDS) * ROWS + r) * _STRIDE % (HASHES * BINS)] & np.uint32(0xFFFF)).astype(np.uint64)
         out[a:b] = key
         a = b
     return out.view(np.int64)
@@ -145,6 +147,7 @@ def _local_links(batches):
     for batch in batches:
         line = np.repeat(batch.column("line").to_numpy(), BANDS)
         keys, _ = flat(batch.column("bands"), np.int64)
+        keys = mix64(keys.view(np.uint64) ^ np.tile(mix64(np.arange(1, BANDS + 1, dtype=np.uint64)), batch.num_rows)).view(np.int64)
         to = np.fromiter(map(leader.setdefault, keys.tolist(), line.tolist()), np.int64, len(keys))
         yield pa.record_batch([pa.array(keys), pa.array(line), pa.array(to)], ["key", "line", "leader"])
 
@@ -168,28 +171,39 @@ def _stand_links(batches):
 
 
 def _round_links(batches):
-    """Over rows sorted by key, lines of small components first: each of a key's LEADERS first lines with all later lines of other components.
+    """Over rows sorted by key, lines of small components first: pairs of a key's LEADERS first lines with later lines of other components whose signatures are alike.
 
     Rows come back with ``rank``, so that leaders, which have met all, are left out of the next round.
     """
-    key, leaders, rank = None, [], 0
+    key, rank = None, 0
+    held = np.zeros((LEADERS, BANDS * ROWS), np.uint16), np.zeros(LEADERS, np.int64), np.zeros(LEADERS, np.int64)
     for batch in batches:
-        a, b, keys, lines, ranks = [], [], [], [], []
-        for k, line, part in zip(*(batch.column(c).to_pylist() for c in ("key", "line", "part")), strict=True):
-            if k != key:
-                key, leaders, rank = k, [], 0
-            own = [x for x, p in leaders if p != part]
-            a += [line] * len(own)
-            b += own
-            keys.append(k)
-            lines.append(line)
-            ranks.append(rank)
-            if rank < LEADERS:
-                leaders.append((line, part))
-            rank += 1
-        n = len(a)
-        columns = [keys + [None] * n, lines + a, [None] * len(keys) + b, ranks + [None] * n]
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["key", "line", "leader", "rank"])
+        k, line, part = (batch.column(c).to_numpy() for c in ("key", "line", "part"))
+        if not len(k):
+            continue
+        bands, _ = flat(batch.column("bands"), np.int64)
+        sign = np.ascontiguousarray(bands).view(np.uint16).reshape(len(k), -1)
+        found, ranks = [], np.zeros(len(k), np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        for a, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(k)], strict=True):
+            if k[a] != key:
+                key, rank = k[a], 0
+            for c in range(a, stop, COMPARED):
+                d = min(c + COMPARED, stop)
+                n = min(rank, LEADERS)
+                new = min(d - c, LEADERS - n)
+                for x, own in zip(held, (sign, line, part), strict=True):
+                    x[n : n + new] = own[c : c + new]
+                lead = n + new
+                equal = (sign[c:d, None] == held[0][None, :lead]).sum(2, dtype=np.int8)
+                row, to = np.nonzero((equal >= LEAST_EQUAL) & (part[c:d, None] != held[2][None, :lead]))
+                found.append((line[c:d][row], held[1][to]))
+                ranks[c:d] = rank + np.arange(d - c)
+                rank += d - c
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        none = pa.nulls(len(a), pa.int64())
+        columns = [pa.concat_arrays([pa.array(k), none]), pa.array(np.concatenate((line, a))), pa.concat_arrays([pa.nulls(len(k), pa.int64()), pa.array(b)]), pa.concat_arrays([pa.array(ranks), none])]
+        yield pa.record_batch(columns, ["key", "line", "leader", "rank"])
 
 
 def _texts_of(batches):
@@ -203,19 +217,31 @@ def _texts_of(batches):
         yield pa.record_batch([pa.array(line, pa.int64()), pa.array(text, pa.string())], ["line", "normal"])
 
 
+def _shingle_hashes(text: str) -> np.ndarray:
+    """Sorted 64-bit hashes of a line's distinct shingles."""
+    if len(text) < SHINGLE_CHARS:
+        return np.array([_line_id(text) + (1 << 63)], np.uint64)
+    return np.unique(mix64(_grams(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))[: len(text) - SHINGLE_CHARS + 1]))
+
+
 def _verified(batches):
+    known: dict[str, np.ndarray] = {}
     for batch in batches:
-        like, sets = [], {}
+        like = []
         for x, y in zip(batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist(), strict=True):
-            # the shorter text's shingles are a bound on what can be shared; repeats only lower the longer one's count
-            p = shingles(x)
-            q = sets.get(y)
+            if len(known) > 4000:
+                known.clear()
+            p, q = known.get(x), known.get(y)
+            if p is None:
+                p = known[x] = _shingle_hashes(x)
             if q is None:
-                if len(sets) > 1000:
-                    sets.clear()
-                q = sets[y] = shingles(y)
-            small, large = sorted((len(p), len(q)))
-            common = len(p & q) if small >= LEAST * large else 0
+                q = known[y] = _shingle_hashes(y)
+            small, large = (p, q) if len(p) <= len(q) else (q, p)
+            if len(small) < LEAST * len(large):
+                like.append(False)
+                continue
+            at = np.searchsorted(large, small)
+            common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
             like.append(common >= LEAST * (len(p) + len(q) - common))
         yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "alike": pa.array(like, pa.bool_())})
 
@@ -232,10 +258,9 @@ def line_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     Lines of equal normal form are one kind. Kinds that share a band key are tested
     against one line of that key, and components follow. Where a key still holds lines
-    of different components, lines of the smaller ones meet all others of the key,
-    LEADERS at a time, until each key has one component or no untested pair: no
-    candidate is given up, and a key of n kinds costs n tests for each line that
-    stays apart.
+    of different components, all its pairs across components are compared by signature,
+    LEADERS lines against all in a round, and those that are alike are verified, until
+    each key has one component or no pair left: no candidate is given up.
     """
     lines = materialize(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null").mapInArrow(_lines_of, "line long, doc_id long, number long, bands array<long>"), "lines")
     kinds = materialize(lines.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.max("bands").alias("bands")), "kinds")
@@ -255,8 +280,9 @@ def line_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         placed = members.join(part, "line", "left").select("key", "line", F.coalesce("part", "line").alias("part"))
         mixed = placed.groupBy("key").agg((F.min("part") != F.max("part")).alias("mixed")).where("mixed").select("key")
         sizes = placed.groupBy("key", "part").agg(F.count("*").alias("size"))
-        open_ = placed.join(mixed, "key", "left_semi").join(sizes, ["key", "part"])
-        rows = open_.repartition("key").sortWithinPartitions("key", "size", "line").select("key", "line", "part")
+        open_ = placed.join(mixed, "key", "left_semi").join(sizes, ["key", "part"]).join(kinds.select("line", "bands"), "line")
+        # by a function of the key: a repartition that the join below already gives is optimised out, and a local shuffle read then breaks it
+        rows = open_.repartition(F.xxhash64("key")).sortWithinPartitions("key", "size", "line").select("key", "line", "part", "bands")
         met = materialize(rows.mapInArrow(_round_links, "key long, line long, leader long, rank long"), "round")
         if met.isEmpty():
             return lines, kinds, found
