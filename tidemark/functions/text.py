@@ -10,6 +10,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Contractions in the order in which they are replaced.
 CONTRACTIONS = {"won't": "will not", "can't": "cannot", "n't": " not", "'re": " are", "'s": " is", "'d": " would", "'ll": " will", "'ve": " have", "'m": " am", "shan't": "shall not", "let's": "let us"}
@@ -40,7 +41,7 @@ MONEY = r"(?i)[$€£¥₹]\s?\d[\d.,]*\s?(?:bn|billion|mn|million|trillion|tn|k
 NUM = r"\b\d[\d.,]*\b"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unicode_repair(text: pd.Series) -> pd.Series:
     """HTML entities resolved, NFKC, typographic quotes and dashes to ASCII; null to empty. Spark has no such functions."""
     plain = str.maketrans({"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "..."})

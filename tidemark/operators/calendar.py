@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A day's order; day-grain tables have thousands of rows at any article count.
-BY_DATE = W.orderBy("date")
+
+def by_date() -> WindowSpec:
+    """Order of a day-grain table, which has thousands of rows at any number of articles."""
+    return W.orderBy("date")
 
 
 def local_date(ts: Column, zone: str) -> Column:
@@ -51,7 +53,7 @@ def attach_news_day(articles: DataFrame, calendar: DataFrame, date: str = "local
 
 def lag_rows(daily: DataFrame, columns: list[str], rows: int = 1, prefix: str = "") -> DataFrame:
     """Columns shifted down by ``rows`` rows of the daily table."""
-    return daily.select("date", *[F.lag(c, rows).over(BY_DATE).alias(prefix + c) for c in columns])
+    return daily.select("date", *[F.lag(c, rows).over(by_date()).alias(prefix + c) for c in columns])
 
 
 def reindex(daily: DataFrame, calendar: DataFrame, zero: list[str]) -> DataFrame:

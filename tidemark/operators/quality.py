@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import aggregates as A
-from .calendar import BY_DATE
+from .calendar import by_date
 
 
 def coverage_by_year(days: DataFrame, daily: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def structural_break(df: DataFrame, value: str) -> DataFrame:
 def target_stats(df: DataFrame, ret: str, band: float) -> DataFrame:
     """Moments, sample-adjusted shape, extremes, lag-1 correlation and class shares as (metric, value)."""
     x = F.col(ret)
-    lagged = df.withColumn("_p", F.lag(ret).over(BY_DATE))
+    lagged = df.withColumn("_p", F.lag(ret).over(by_date()))
     return A.unpivot(
         lagged.agg(
             F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), A.adjusted_skewness(x).alias("skew"), A.adjusted_kurtosis(x).alias("kurtosis"),

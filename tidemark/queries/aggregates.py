@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import quality as Q
 from ..operators import windows as N
-from ..operators.calendar import BY_DATE
+from ..operators.calendar import by_date
 from ..sources import articles as S
 from .base import ART, BUCKET, PX, RET, articles, bucketed, prices, query, r6, table
 from .gates import GATED, gated
@@ -147,7 +147,7 @@ def validity_summary(spark, d):
 @query(f"""WITH {RET}, a AS (SELECT n, ret, lag(ret, 5) OVER (ORDER BY date) AS ret_lag5, CASE WHEN n > 2 THEN price END AS busy FROM rt), m AS (SELECT avg((n IS NULL)::INT) AS n, avg((ret IS NULL)::INT) AS ret, avg((ret_lag5 IS NULL)::INT) AS ret_lag5, avg((busy IS NULL)::INT) AS busy FROM a)
  SELECT "column", round(missing, 6) AS missing FROM (UNPIVOT m ON COLUMNS(*) INTO NAME "column" VALUE missing) ORDER BY missing DESC, "column" LIMIT 3""")
 def missingness(spark, d):
-    a = returns(spark, d).select("n", "ret", F.lag("ret", 5).over(BY_DATE).alias("ret_lag5"), F.when(F.col("n") > 2, F.col("price")).alias("busy"))
+    a = returns(spark, d).select("n", "ret", F.lag("ret", 5).over(by_date()).alias("ret_lag5"), F.when(F.col("n") > 2, F.col("price")).alias("busy"))
     return Q.missingness(a, 3).withColumn("missing", F.round("missing", 6))
 
 

@@ -55,7 +55,7 @@ def calendar_from_series(spark, d):
  SELECT rt.date, f.n, lag1_level, round(rt.ret, 6) AS y_return, 1 AS feature_lag_days FROM f FULL JOIN m USING (date) JOIN rt ON rt.date = coalesce(f.date, m.date)""")
 def prediction_frame(spark, d):
     p = prices(spark, d)
-    labels = p.select("date", r6(N.log_return(F.col("price"), C.BY_DATE), "y_return"))
+    labels = p.select("date", r6(N.log_return(F.col("price"), C.by_date()), "y_return"))
     return C.prediction_frame(p.select("date", "n"), controls(spark, d), labels).select("date", "n", "lag1_level", "y_return", "feature_lag_days")
 
 
@@ -69,8 +69,8 @@ def lag_to_rows(spark, d):
 @query(f"""WITH {RET}, y AS (SELECT date, ret, CASE WHEN ret > 10 THEN 'UP' WHEN ret < -10 THEN 'DOWN' WHEN ret IS NOT NULL THEN 'FLAT' END AS y_direction FROM rt)
  SELECT date, y_direction, lag(y_direction) OVER (ORDER BY date) AS persist_direction FROM y""")
 def assemble_persistence(spark, d):
-    y = prices(spark, d).select("date", N.direction(N.log_return(F.col("price"), C.BY_DATE), 10).alias("y_direction"))
-    return y.withColumn("persist_direction", F.lag("y_direction").over(C.BY_DATE))
+    y = prices(spark, d).select("date", N.direction(N.log_return(F.col("price"), C.by_date()), 10).alias("y_direction"))
+    return y.withColumn("persist_direction", F.lag("y_direction").over(C.by_date()))
 
 
 @query(f"""WITH {PX}, {CTL}, c AS (SELECT DISTINCT date FROM ctl) SELECT c.date, coalesce(n, 0) AS n, price FROM c LEFT JOIN px USING (date)""")
@@ -80,8 +80,8 @@ def reindex_fill(spark, d):
 
 @query(f"WITH {RET} SELECT date, round(lead(ret) OVER (ORDER BY date), 6) AS next_return, round(lead(abs(ret)) OVER (ORDER BY date), 6) AS next_volatility FROM rt")
 def next_label(spark, d):
-    p = prices(spark, d).withColumn("ret", N.log_return(F.col("price"), C.BY_DATE))
-    return p.select("date", r6(F.lead("ret").over(C.BY_DATE), "next_return"), r6(F.lead(F.abs("ret")).over(C.BY_DATE), "next_volatility"))
+    p = prices(spark, d).withColumn("ret", N.log_return(F.col("price"), C.by_date()))
+    return p.select("date", r6(F.lead("ret").over(C.by_date()), "next_return"), r6(F.lead(F.abs("ret")).over(C.by_date()), "next_volatility"))
 
 
 @query(f"""WITH {PX}, {CTL} SELECT coalesce(px.date, ctl.date) AS date, price, level FROM px FULL JOIN ctl USING (date)
@@ -125,7 +125,7 @@ def audit_key_join(spark, d):
  SELECT count(*) AS rows_checked, count(*) FILTER (WHERE shifted IS DISTINCT FROM direct) AS mismatches FROM s JOIN l USING (date)""")
 def lag_guard(spark, d):
     """Row t must hold the value of row t - 1: a shift against a join by row number."""
-    p = prices(spark, d).withColumn("ret", N.log_return(F.col("price"), C.BY_DATE)).withColumn("i", F.row_number().over(C.BY_DATE))
+    p = prices(spark, d).withColumn("ret", N.log_return(F.col("price"), C.by_date())).withColumn("i", F.row_number().over(C.by_date()))
     shifted = C.lag_rows(p, ["ret"])
     direct = p.select("date", "i").join(p.select((F.col("i") + 1).alias("i"), F.col("ret").alias("direct")), "i", "left").drop("i")
     return shifted.join(direct, "date").agg(F.count("*").alias("rows_checked"), F.count_if(~F.col("ret").eqNullSafe(F.col("direct"))).alias("mismatches"))

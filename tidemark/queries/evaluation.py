@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as V
 from ..operators import quality as Q
 from ..operators import windows as N
-from ..operators.calendar import BY_DATE
+from ..operators.calendar import by_date
 from .base import RET, query, r6, table
 from .windows import returns
 
@@ -18,7 +18,7 @@ PRED = RET + """, pr AS (SELECT date, ret, n, price, CASE WHEN ret > 10 THEN 'UP
 
 
 def predictions(spark, d):
-    x = returns(spark, d).select("date", "ret", "n", "price", N.direction(F.col("ret"), 10).alias("truth"), F.lag("ret").over(BY_DATE).alias("p")).where("ret IS NOT NULL AND p IS NOT NULL")
+    x = returns(spark, d).select("date", "ret", "n", "price", N.direction(F.col("ret"), 10).alias("truth"), F.lag("ret").over(by_date()).alias("p")).where("ret IS NOT NULL AND p IS NOT NULL")
     return x.withColumns({
         "a": N.direction(F.col("p"), 10), "b": F.when(F.col("n") >= 3, "UP").when(F.col("n") == 2, "FLAT").otherwise("DOWN"), "pn": 10.0 * (F.col("n") - 2),
         "split": N.chronological_split(F.col("date"), "1998-06-30", "1999-12-31"),
@@ -61,7 +61,7 @@ _DRAWN = ", ".join(f"({r}, {k}, {s})" for r, own in enumerate(_STARTS) for k, s
  SELECT round(avg(gain), 6) AS mean, round(quantile_cont(gain, 0.025), 6) AS low, round(quantile_cont(gain, 0.975), 6) AS high, round(avg((gain <= 0)::INT), 6) AS p_no_gain FROM s""")
 def bootstrap_fixed(spark, d):
     """Gain of one prediction over another on 40 resamples of the first 60 days, in blocks of 10 (the operator's own limits)."""
-    t = predictions(spark, d).withColumn("i", F.row_number().over(BY_DATE) - 1).where("i < 60")
+    t = predictions(spark, d).withColumn("i", F.row_number().over(by_date()) - 1).where("i < 60")
     return V.interval(V.bootstrap_gain(t, _STARTS, 10, "truth", "a", "b")).select(*[r6(c, c) for c in ("mean", "low", "high", "p_no_gain")])
 
 

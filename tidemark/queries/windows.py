@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import targets as T
 from ..operators import windows as N
-from ..operators.calendar import BY_DATE
+from ..operators.calendar import by_date
 from .base import ART, CTL, PX, RET, articles, controls, prices, query, r6, table
 
 
 def returns(spark, d):
-    return prices(spark, d).withColumn("ret", N.log_return(F.col("price"), BY_DATE))
+    return prices(spark, d).withColumn("ret", N.log_return(F.col("price"), by_date()))
 
 
 _Z = """CASE WHEN count({x}) OVER w >= 10 THEN ({x} - avg({x}) OVER w) / nullif(stddev_samp({x}) OVER w, 0) END"""
@@ -20,17 +20,17 @@ _Z = """CASE WHEN count({x}) OVER w >= 10 THEN ({x} - avg({x}) OVER w) / nullif(
 
 @query(f"WITH {PX} SELECT date, round({_Z.format(x='price')}, 6) AS z FROM px WINDOW w AS (ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)")
 def rolling_z30(spark, d):
-    return prices(spark, d).select("date", r6(N.rolling_z(F.col("price"), BY_DATE, 30), "z"))
+    return prices(spark, d).select("date", r6(N.rolling_z(F.col("price"), by_date(), 30), "z"))
 
 
 @query(f"WITH {PX} SELECT date, round({_Z.format(x='n')}, 6) AS z FROM px WINDOW w AS (ORDER BY date ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING)")
 def rolling_z90(spark, d):
-    return prices(spark, d).select("date", r6(N.rolling_z(F.col("n"), BY_DATE, 90), "z"))
+    return prices(spark, d).select("date", r6(N.rolling_z(F.col("n"), by_date(), 90), "z"))
 
 
 @query(f"WITH {RET} SELECT date, {', '.join(f'round(lag(ret, {k}) OVER (ORDER BY date), 6) AS ret_lag{k}' for k in range(1, 6))} FROM rt")
 def return_lags(spark, d):
-    return returns(spark, d).select("date", *[r6(F.lag("ret", k).over(BY_DATE), f"ret_lag{k}") for k in range(1, 6)])
+    return returns(spark, d).select("date", *[r6(F.lag("ret", k).over(by_date()), f"ret_lag{k}") for k in range(1, 6)])
 
 
 @query(f"""WITH {RET} SELECT date, {', '.join(f'round(CASE WHEN count(ret) OVER w{k} = {k} THEN avg(ret) OVER w{k} END, 6) AS mom{k}, round(CASE WHEN count(ret) OVER w{k} = {k} THEN stddev_samp(ret) OVER w{k} END, 6) AS vol{k}' for k in (5, 20))},
@@ -41,26 +41,26 @@ def momentum_vol(spark, d):
 
 @query(f"WITH {RET} SELECT date, round(ret, 6) AS ret, round(price - lag(price) OVER (ORDER BY date), 2) AS diff FROM rt")
 def log_returns(spark, d):
-    return returns(spark, d).select("date", r6("ret", "ret"), r6(F.col("price") - F.lag("price").over(BY_DATE), "diff", 2))
+    return returns(spark, d).select("date", r6("ret", "ret"), r6(F.col("price") - F.lag("price").over(by_date()), "diff", 2))
 
 
 @query(f"""WITH {PX}, {CTL}, a AS (SELECT coalesce(px.date, ctl.date) AS date, price, level FROM px FULL JOIN ctl USING (date)),
  f AS (SELECT date, price, last_value(level IGNORE NULLS) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS level FROM a) SELECT date, level FROM f WHERE price IS NOT NULL""")
 def ffill_controls(spark, d):
     """Controls carried forward over all dates, then cut to the days on which the target prints."""
-    a = prices(spark, d).join(controls(spark, d), "date", "full").withColumn("level", N.forward_fill(F.col("level"), BY_DATE))
+    a = prices(spark, d).join(controls(spark, d), "date", "full").withColumn("level", N.forward_fill(F.col("level"), by_date()))
     return a.where("price IS NOT NULL").select("date", "level")
 
 
 @query(f"WITH {RET} SELECT date, round(CASE WHEN count(ret) OVER w = 5 THEN stddev_samp(ret) OVER w END, 6) AS vol FROM rt WINDOW w AS (ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 def realized_vol5(spark, d):
-    return returns(spark, d).select("date", r6(N.trailing(F.stddev_samp, F.col("ret"), BY_DATE, 5, include=True), "vol"))
+    return returns(spark, d).select("date", r6(N.trailing(F.stddev_samp, F.col("ret"), by_date(), 5, include=True), "vol"))
 
 
 @query(f"""WITH {RET}, h AS (SELECT date, CASE WHEN count(ret) OVER w = 3 THEN sum(ret) OVER w END AS h3 FROM rt WINDOW w AS (ORDER BY date ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))
  SELECT date, round(h3, 6) AS y_h3, CASE WHEN h3 > 10 * sqrt(3) THEN 'UP' WHEN h3 < -10 * sqrt(3) THEN 'DOWN' WHEN h3 IS NOT NULL THEN 'FLAT' END AS y_direction_h3 FROM h""")
 def horizon_targets(spark, d):
-    h = returns(spark, d).withColumn("h3", N.horizon_sum(F.col("ret"), BY_DATE, 3))
+    h = returns(spark, d).withColumn("h3", N.horizon_sum(F.col("ret"), by_date(), 3))
     return h.select("date", r6("h3", "y_h3"), N.direction(F.col("h3"), 10 * 3**0.5).alias("y_direction_h3"))
 
 
@@ -81,7 +81,7 @@ def topk_per_day(spark, d):
  SELECT date, round(sum(x * pow(2, i / 5.0)) OVER w / sum(CASE WHEN x IS NOT NULL THEN pow(2, i / 5.0) END) OVER w, 6) AS ewm FROM i WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)""")
 def ewm_halflife(spark, d):
     r = returns(spark, d).where("date < '1998-01-01'").withColumn("x", F.when(F.col("n") >= 2, F.col("ret")))
-    return r.select("date", r6(N.ewm_mean(F.col("x"), BY_DATE, 5), "ewm"))
+    return r.select("date", r6(N.ewm_mean(F.col("x"), by_date(), 5), "ewm"))
 
 
 @query(f"""WITH {ART}, e AS (SELECT article_id, local_date, exp(dup_count - max(dup_count) OVER (PARTITION BY local_date)) AS e FROM art)
@@ -92,7 +92,7 @@ def day_softmax(spark, d):
 
 @query(f"WITH {RET}, l AS (SELECT ret, lag(ret) OVER (ORDER BY date) AS p FROM rt) SELECT round(corr(ret, p), 6) AS r1, round(corr(abs(ret), abs(p)), 6) AS r1_abs FROM l")
 def autocorr(spark, d):
-    r = returns(spark, d).withColumn("p", F.lag("ret").over(BY_DATE))
+    r = returns(spark, d).withColumn("p", F.lag("ret").over(by_date()))
     return r.agg(r6(F.corr("ret", "p"), "r1"), r6(F.corr(F.abs("ret"), F.abs("p")), "r1_abs"))
 
 
@@ -115,7 +115,7 @@ def targets(spark, d):
 
 @query(f"""WITH {RET}, q AS (SELECT date, CASE WHEN count(ret) OVER (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) >= 5 THEN avg(ret) OVER (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS m FROM rt) SELECT date, round(m, 6) AS display_mean FROM q""")
 def display_mean(spark, d):
-    return returns(spark, d).select("date", r6(N.trailing(F.avg, F.col("ret"), BY_DATE, 20, include=True, least=5), "display_mean"))
+    return returns(spark, d).select("date", r6(N.trailing(F.avg, F.col("ret"), by_date(), 20, include=True, least=5), "display_mean"))
 
 
 @query("SELECT event_id, CAST(ts + INTERVAL 7 HOUR AS DATE) AS local_date, strftime(ts, '%Y%m%dT%H%M%SZ') AS stamp, CAST(year(ts) AS INTEGER) AS year, CAST((hour(ts) * 60 + minute(ts)) // 15 * 15 AS INTEGER) AS slot FROM events")

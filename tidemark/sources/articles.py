@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dates as D
 from ..functions import text as X
@@ -68,7 +69,7 @@ def parse_records(lines: DataFrame, families: Mapping[str, Iterable[str]]) -> Da
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     """HTML entities resolved; Spark has no such function."""
     import html
