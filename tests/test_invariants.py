@@ -325,3 +325,43 @@ def test_first_copies_stream(spark, tmp_path):
     frame(spark, [("Oil up", "2024-01-01 08:00:00"), ("Oil up", "2024-01-01 09:00:00"), ("Gas", "2024-01-01 09:00:00")], "title string, s string").select("title", F.col("s").cast("timestamp").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("title string, ts timestamp").parquet(f"{tmp_path}/in")
     assert Y.run_once(Y.first_copies(stream), "copies").count() == 2
+
+
+def test_build_of_synthetic_inputs(spark):
+    from tidemark.plans.dataset import Config, build
+    from tidemark.sources import synthetic as Y
+
+    days = Y.weekdays(spark, "2024-01-01", "2024-06-28")
+    config = Config(train_end="2024-04-30", val_end="2024-05-31")
+    frame, marked, problems = build(Y.articles(days), Y.fx_panel(days), config)
+    frame = frame.cache()
+    assert problems.count() == 0 and frame.count() == days.count()
+    assert marked.where("is_duplicate").count() > 0 and marked.where("keep AND is_duplicate").count() == 0
+    # yesterday's news moves today: the planted shock shows at the lag and not without it
+    now = frame.select("date", "y_abs", "n_articles", F.lead("n_articles").over(C.by_date()).alias("same_day"))
+    lagged, same = now.select(F.corr("y_abs", "n_articles"), F.corr("y_abs", "same_day")).first()
+    assert lagged > 0.6 > 0.3 > abs(same)
+    assert Y.timelines(days).count() == 3 * days.count()
+
+
+def test_pooling_modes(spark):
+    from tidemark.operators import vectors as O
+
+    df = frame(spark, [(d, i, [float(i), 1.0], float(1 + i)) for d in (1, 2) for i in range(3)], "day int, i int, v array<double>, w double")
+    get = lambda **k: {(r["day"], r["pos"]): r["x"] for r in O.daily_vectors(df, "day", "v", F.col("w"), **k).collect()}
+    assert get()[1, 0] == pytest.approx(8 / 6) and get(mode="attention")[1, 0] == pytest.approx(1.0) and get(mode="decay")[2, 1] == pytest.approx(1.0)
+    s = O.sequences(df.where("i < 2"), "day", "v", [F.desc("w")], F.col("w"), 3, 2).first()
+    assert s["mask"] == [1, 1, 0] and s["items"][2] == [0.0, 0.0] and s["prior"][2] == -1e9 and s["items"][0][0] == 1.0
+    with pytest.raises(ValueError):
+        O.daily_vectors(df, "day", "v", F.col("w"), "x")
+
+
+def test_drift_and_importance(spark):
+    from tidemark.operators import vectors as O
+
+    df = frame(spark, [(i, float(i), float(i * 7 % 11), float(i) * 2 + i * 7 % 11) for i in range(80)], "id int, a double, b double, y double")
+    assert O.drift_auc(df, ["a"], F.col("id") < 40, "id", 3) > 0.95
+    scaler, model = M.ridge(df, ["a", "b"], "y", 0.1)
+    assert O.importance(["a", "b"], model)[0][0] == "a"
+    t = frame(spark, [(0, "x", 0.5), (0, "y", -0.5), (0, "z", 0.1)], "component int, term string, loading double")
+    assert sorted((r["side"], r["term"]) for r in O.top_terms(t, 1).collect()) == [("high", "x"), ("low", "y")]

@@ -68,3 +68,10 @@ def adjusted_kurtosis(x: Column) -> Column:
     """Sample excess kurtosis, adjusted as spreadsheets do."""
     n = F.count(x)
     return (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6)
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation of pairs without nulls; null where either is constant, which ``corr`` refuses."""
+    x, y = x.cast("double"), y.cast("double")
+    own, other = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(own, other), F.stddev_pop(own) * F.stddev_pop(other))

@@ -93,7 +93,7 @@ def leakage(frame: DataFrame, target: str, lag: str = "feature_lag_days", split:
     """
     numeric = [c for c, t in frame.dtypes if t in ("double", "float", "int", "bigint") and c not in (target, lag)]
     one = frame.agg(
-        F.min(lag).alias("lag"), (F.count("*") - F.count_distinct("date")).alias("repeated"), *[F.corr(c, target).alias(f"_{c}") for c in numeric]
+        F.min(lag).alias("lag"), (F.count("*") - F.count_distinct("date")).alias("repeated"), *[A.correlation(F.col(c), F.col(target)).alias(f"_{c}") for c in numeric]
     )
     found = [
         F.when(F.col("lag") < 1, F.struct(F.lit("lag below one row").alias("problem"), F.col("lag").cast("string").alias("detail"))),
