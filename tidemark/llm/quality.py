@@ -39,11 +39,11 @@ def _contexts(batches):
     total = np.zeros(BUCKETS * WIDTH)
     count = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        ids, offsets = flat(batch.column("ids"), np.int64)
+        ids, offsets = flat(batch.column("ids"), np.int32)
         if not len(ids):
             continue
         count += np.bincount(ids, minlength=BUCKETS)
-        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
         for step in range(1, REACH + 1):
             for a in range(0, len(ids) - step, 1 << 18):
                 here, there = ids[a : a + (1 << 18)][: len(ids) - step - a], ids[a + step : a + step + (1 << 18)]
@@ -162,7 +162,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = N
 
     def featured(batches):
         for batch in batches:
-            ids, offsets = flat(batch.column("ids"), np.int64)
+            ids, offsets = flat(batch.column("ids"), np.int32)
             x = pooled(ids, offsets, shared.value)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "x": pa.array(list(x), pa.list_(pa.float32())), "quality": batch.column("quality")})
 
@@ -183,7 +183,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = N
 
     def scored(batches):
         for batch in batches:
-            ids, offsets = flat(batch.column("ids"), np.int64)
+            ids, offsets = flat(batch.column("ids"), np.int32)
             p = network.probability(pooled(ids, offsets, shared.value).astype(np.float64))
             own = {c: batch.column(c) for c in keep}
             yield pa.record_batch({**own, "score": pa.array(p)})
