@@ -217,52 +217,33 @@ def _texts_of(batches):
         yield pa.record_batch([pa.array(line, pa.int64()), pa.array(text, pa.string())], ["line", "normal"])
 
 
-def alike(a: list[str], b: list[str]) -> np.ndarray:
-    """Whether the Jaccard similarity of each pair of normalised lines is LEAST or more, over their sets of shingles.
-
-    Shingles are compared as 52-bit hashes; all pairs of a call share two sorts.
-    """
-    names: dict[str, int] = {}
-    ia = np.array([names.setdefault(t, len(names)) for t in a])
-    ib = np.array([names.setdefault(t, len(names)) for t in b])
-    texts = list(names)
-    length = np.array([len(t) for t in texts])
-    start, n = np.cumsum(length) - length, np.maximum(length - SHINGLE_CHARS + 1, 1)
-    grams = mix64(_grams(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)))
-    for i in np.flatnonzero(length < SHINGLE_CHARS):
-        grams[start[i]] = np.uint64(_line_id(texts[i]) + (1 << 63))
-    owner = np.repeat(np.arange(len(texts)), n)
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    sets = np.unique(owner.astype(np.uint64) << np.uint64(52) | grams[start[owner] + within] >> np.uint64(12))
-    size = np.bincount((sets >> np.uint64(52)).astype(np.int64), minlength=len(texts))
-    begin = np.cumsum(size) - size
-    small, large = np.minimum(size[ia], size[ib]), np.maximum(size[ia], size[ib])
-    out = small >= LEAST * large
-    at = np.flatnonzero(out)
-    parts = []
-    for which in (ia[at], ib[at]):
-        pair = np.repeat(np.arange(len(at)), size[which])
-        place = np.arange(len(pair)) - np.repeat(np.cumsum(size[which]) - size[which], size[which]) + begin[which][pair]
-        parts.append(pair.astype(np.uint64) << np.uint64(52) | sets[place] & np.uint64((1 << 52) - 1))
-    both = np.sort(np.concatenate(parts))
-    twice = both[1:][both[1:] == both[:-1]]
-    common = np.bincount((twice >> np.uint64(52)).astype(np.int64), minlength=len(at))
-    out[at] = common >= LEAST * (small[at] + large[at] - common)
-    return out
+def _shingle_hashes(text: str) -> np.ndarray:
+    """Sorted 64-bit hashes of a line's distinct shingles."""
+    if len(text) < SHINGLE_CHARS:
+        return np.array([_line_id(text) + (1 << 63)], np.uint64)
+    return np.unique(mix64(_grams(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))[: len(text) - SHINGLE_CHARS + 1]))
 
 
 def _verified(batches):
+    known: dict[str, np.ndarray] = {}
     for batch in batches:
-        a, b = batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist()
-        like, at = [], 0
-        while at < len(a):
-            stop, chars = at, 0
-            while stop < len(a) and stop - at < 1000 and (stop == at or chars < 1 << 19):
-                chars += len(a[stop]) + len(b[stop])
-                stop += 1
-            like.append(alike(a[at:stop], b[at:stop]))
-            at = stop
-        yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "alike": pa.array(np.concatenate(like) if like else [], pa.bool_())})
+        like = []
+        for x, y in zip(batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist(), strict=True):
+            if len(known) > 4000:
+                known.clear()
+            p, q = known.get(x), known.get(y)
+            if p is None:
+                p = known[x] = _shingle_hashes(x)
+            if q is None:
+                q = known[y] = _shingle_hashes(y)
+            small, large = (p, q) if len(p) <= len(q) else (q, p)
+            if len(small) < LEAST * len(large):
+                like.append(False)
+                continue
+            at = np.searchsorted(large, small)
+            common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+            like.append(common >= LEAST * (len(p) + len(q) - common))
+        yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "alike": pa.array(like, pa.bool_())})
 
 
 def _tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
