@@ -521,3 +521,33 @@ def test_pipeline(spark, data):
     assert seen[1] < seen[0] and seen[3] < seen[2] and seen[5] > 0
     fills = docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).select("n").distinct().collect()
     assert all(r["n"] & (r["n"] - 1) == 0 for r in fills)
+
+
+def test_stage_catches_jaccard(spark):
+    """Copies of one to several hundred words with single words replaced, at 0.8 or just above or below, against brute force."""
+    import corpus_pipeline as P
+
+    r = np.random.default_rng(8)
+    texts = []
+    for n in (3, 9, 24, 29, 60, 150, 151, 400, 900):
+        base = [f"w{x}" for x in r.integers(0, 3000, n)]
+        texts.append(base)
+        for share in (0.01, 0.02, 0.023, 0.03, 0.06):
+            own = list(base)
+            for k in r.choice(n, max(1, round(share * n)), replace=False):
+                own[k] = f"new{r.integers(10**6)}"
+            texts.append(own)
+        texts.append([*base, *[f"tail{n}x{k}" for k in range(max(1, (n - 4) // 4))]])  # Jaccard of exactly 0.8 where n - 4 divides by 4
+    texts += [[], [], ["a"], ["A"], *[["same", "opening", "words", "of", "all"] * 3 + [f"u{i}x{k}" for k in range(10)] for i in range(30)]]
+    sets = [{" ".join(w[i : i + 5]).lower() for i in range(max(1, len(w) - 4))} if w else set() for w in texts]
+    find, join = union_find(len(texts))
+    alike = 0
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            join(a, b)
+            alike += 1
+    assert alike > 20 and 10 < len({find(i) for i in range(len(texts))}) < len(texts)
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate(texts)] + [(None, "no id", "en", "s", 0)] * 2
+    own = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = sorted((r["doc_id"] is None, r["doc_id"]) for r in P.near_dedup(spark, own, "").select("doc_id").collect())
+    assert [i for none, i in kept if not none] == sorted({find(i) for i in range(len(texts))}) and len(kept) - 2 == len({find(i) for i in range(len(texts))})

@@ -170,40 +170,45 @@ def _stand_links(batches):
         yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*passed, strict=True)], ["key", "line", "leader"])
 
 
-def _round_links(batches):
-    """Over rows sorted by key, lines of small components first: pairs of a key's LEADERS first lines with later lines of other components whose signatures are alike.
+def round_links(least_equal: int):
+    """Over rows sorted by key, lines of small components first: pairs of a key's LEADERS first lines with later lines of other components whose signatures agree in ``least_equal`` minima.
 
     Rows come back with ``rank``, so that leaders, which have met all, are left out of the next round.
     """
-    key, rank = None, 0
-    held = np.zeros((LEADERS, BANDS * ROWS), np.uint16), np.zeros(LEADERS, np.int64), np.zeros(LEADERS, np.int64)
-    for batch in batches:
-        k, line, part = (batch.column(c).to_numpy() for c in ("key", "line", "part"))
-        if not len(k):
-            continue
-        bands, _ = flat(batch.column("bands"), np.int64)
-        sign = np.ascontiguousarray(bands).view(np.uint16).reshape(len(k), -1)
-        found, ranks = [], np.zeros(len(k), np.int64)
-        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-        for a, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(k)], strict=True):
-            if k[a] != key:
-                key, rank = k[a], 0
-            for c in range(a, stop, COMPARED):
-                d = min(c + COMPARED, stop)
-                n = min(rank, LEADERS)
-                new = min(d - c, LEADERS - n)
-                for x, own in zip(held, (sign, line, part), strict=True):
-                    x[n : n + new] = own[c : c + new]
-                lead = n + new
-                equal = (sign[c:d, None] == held[0][None, :lead]).sum(2, dtype=np.int8)
-                row, to = np.nonzero((equal >= LEAST_EQUAL) & (part[c:d, None] != held[2][None, :lead]))
-                found.append((line[c:d][row], held[1][to]))
-                ranks[c:d] = rank + np.arange(d - c)
-                rank += d - c
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        none = pa.nulls(len(a), pa.int64())
-        columns = [pa.concat_arrays([pa.array(k), none]), pa.array(np.concatenate((line, a))), pa.concat_arrays([pa.nulls(len(k), pa.int64()), pa.array(b)]), pa.concat_arrays([pa.array(ranks), none])]
-        yield pa.record_batch(columns, ["key", "line", "leader", "rank"])
+
+    def found_of(batches):
+        key, rank, held = None, 0, None
+        for batch in batches:
+            k, line, part = (batch.column(c).to_numpy() for c in ("key", "line", "part"))
+            if not len(k):
+                continue
+            bands, _ = flat(batch.column("bands"), np.int64)
+            sign = np.ascontiguousarray(bands).view(np.uint16).reshape(len(k), -1)
+            if held is None:
+                held = np.zeros((LEADERS, sign.shape[1]), np.uint16), np.zeros(LEADERS, np.int64), np.zeros(LEADERS, np.int64)
+            found, ranks = [], np.zeros(len(k), np.int64)
+            starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            for a, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(k)], strict=True):
+                if k[a] != key:
+                    key, rank = k[a], 0
+                for c in range(a, stop, COMPARED):
+                    d = min(c + COMPARED, stop)
+                    n = min(rank, LEADERS)
+                    new = min(d - c, LEADERS - n)
+                    for x, own in zip(held, (sign, line, part), strict=True):
+                        x[n : n + new] = own[c : c + new]
+                    lead = n + new
+                    equal = (sign[c:d, None] == held[0][None, :lead]).sum(2, dtype=np.int8)
+                    row, to = np.nonzero((equal >= least_equal) & (part[c:d, None] != held[2][None, :lead]))
+                    found.append((line[c:d][row], held[1][to]))
+                    ranks[c:d] = rank + np.arange(d - c)
+                    rank += d - c
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            none = pa.nulls(len(a), pa.int64())
+            columns = [pa.concat_arrays([pa.array(k), none]), pa.array(np.concatenate((line, a))), pa.concat_arrays([pa.nulls(len(k), pa.int64()), pa.array(b)]), pa.concat_arrays([pa.array(ranks), none])]
+            yield pa.record_batch(columns, ["key", "line", "leader", "rank"])
+
+    return found_of
 
 
 def _texts_of(batches):
@@ -246,34 +251,28 @@ def _verified(batches):
         yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "alike": pa.array(like, pa.bool_())})
 
 
-def _tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) with ``alike``: whether their exact similarity reaches LEAST."""
+def _tested(pairs: DataFrame, texts: DataFrame, verified) -> DataFrame:
+    """Pairs (a, b) with ``alike``: whether their exact similarity, by ``verified``, reaches its least."""
     a, b = texts.select(F.col("line").alias("a"), F.col("normal").alias("a_text")), texts.select(F.col("line").alias("b"), F.col("normal").alias("b_text"))
     joined = pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text")
-    return materialize(joined.mapInArrow(_verified, "a long, b long, alike boolean"), "tested")
+    return materialize(joined.mapInArrow(verified, "a long, b long, alike boolean"), "tested")
 
 
-def line_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Return the lines (line, doc_id, number), their kinds (line, first place) and the components (id, component) of kinds.
-
-    Lines of equal normal form are one kind. Kinds that share a band key are tested
-    against one line of that key, and components follow. Where a key still holds lines
-    of different components, all its pairs across components are compared by signature,
-    LEADERS lines against all in a round, and those that are alike are verified, until
-    each key has one component or no pair left: no candidate is given up.
-    """
-    lines = materialize(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null").mapInArrow(_lines_of, "line long, doc_id long, number long, bands array<long>"), "lines")
-    kinds = materialize(lines.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.max("bands").alias("bands")), "kinds")
-    local = kinds.select("line", "bands").mapInArrow(_local_links, "key long, line long, leader long")
+def candidates(local: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From links (key, line, leader) within partitions: pairs of each key's lines with one of them, and the lines (key, line) of keys with pairs."""
     # stands meet by key; links within a partition lie anywhere, so that a common key fills no partition
     dealt = local.repartition(F.when(F.col("line") == F.col("leader"), F.col("key")).otherwise(F.col("line"))).sortWithinPartitions("key")
     pending = materialize(dealt.mapInArrow(_stand_links, "key long, line long, leader long"), "pairs")
     members = materialize(pending.select("key", "line").union(pending.select("key", F.col("leader").alias("line"))).distinct(), "members")
-    seen = members.select("line").distinct()
-    wanted = kinds.join(seen, "line", "left_semi").select("line", "first.*").groupBy("doc_id").agg(F.collect_list(F.struct("line", "number")).alias("wanted"))
-    whole = docs.select(F.col("doc_id").cast("long"), "text")
-    texts = materialize(whole.join(wanted.hint("shuffle_hash"), "doc_id").select("text", "wanted").mapInArrow(_texts_of, "line long, normal string").dropDuplicates(["line"]), "texts")
-    tested = _tested(pending.select(F.col("line").alias("a"), F.col("leader").alias("b")), texts)
+    return pending, members
+
+
+def settled(pending: DataFrame, members: DataFrame, kinds: DataFrame, texts: DataFrame, verified, least_equal: int) -> DataFrame:
+    """Components (id, component) of candidates ``pending`` (key, line, leader) and of all later pairs of a key's ``members`` (key, line).
+
+    ``kinds`` (line, bands) has signatures and ``texts`` (line, normal) what ``verified`` compares.
+    """
+    tested = _tested(pending.select(F.col("line").alias("a"), F.col("leader").alias("b")), texts, verified)
     found = materialize(components(tested.where("alike")), "parts")
     while True:
         part = found.select(F.col("id").alias("line"), F.col("component").alias("part"))
@@ -283,13 +282,13 @@ def line_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         open_ = placed.join(mixed, "key", "left_semi").join(sizes, ["key", "part"]).join(kinds.select("line", "bands"), "line")
         # by a function of the key: a repartition that the join below already gives is optimised out, and a local shuffle read then breaks it
         rows = open_.repartition(F.xxhash64("key")).sortWithinPartitions("key", "size", "line").select("key", "line", "part", "bands")
-        met = materialize(rows.mapInArrow(_round_links, "key long, line long, leader long, rank long"), "round")
+        met = materialize(rows.mapInArrow(round_links(least_equal), "key long, line long, leader long, rank long"), "round")
         if met.isEmpty():
-            return lines, kinds, found
+            return found
         done = tested.select("a", "b")
         fresh = met.where("leader IS NOT NULL").select(F.greatest("line", "leader").alias("a"), F.least("line", "leader").alias("b")).distinct()
         untried = fresh.join(done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-        now = _tested(untried, texts)
+        now = _tested(untried, texts, verified)
         tested = tested.union(now)
         new = now.where("alike")
         if not new.isEmpty():
@@ -301,6 +300,26 @@ def line_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         members = materialize(met.where(F.col("rank") >= LEADERS).select("key", "line"), "members")
 
 
+def line_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Return the lines (line, doc_id, number), their kinds (line, first place) and the components (id, component) of kinds.
+
+    Lines of equal normal form are one kind. Kinds that share a band key are tested
+    against one line of that key, and components follow. Where a key still holds lines
+    of different components, all its pairs across components are compared by signature,
+    LEADERS lines against all in a round, and those that are alike are verified, until
+    each key has one component or no pair left: no candidate is given up.
+    """
+    lines = materialize(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null").mapInArrow(_lines_of, "line long, doc_id long, number long, bands array<long>"), "lines")
+    kinds = materialize(lines.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.max("bands").alias("bands")), "kinds")
+    local = kinds.select("line", "bands").mapInArrow(_local_links, "key long, line long, leader long")
+    pending, members = candidates(local)
+    seen = members.select("line").distinct()
+    wanted = kinds.join(seen, "line", "left_semi").select("line", "first.*").groupBy("doc_id").agg(F.collect_list(F.struct("line", "number")).alias("wanted"))
+    whole = docs.select(F.col("doc_id").cast("long"), "text")
+    texts = materialize(whole.join(wanted.hint("shuffle_hash"), "doc_id").select("text", "wanted").mapInArrow(_texts_of, "line long, normal string").dropDuplicates(["line"]), "texts")
+    return lines, kinds, settled(pending, members, kinds, texts, _verified, LEAST_EQUAL)
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """Return (doc_id, removed): the numbers of the lines that go, of documents that lose any."""
     lines, kinds, joined = line_links(docs)
