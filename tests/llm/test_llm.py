@@ -551,3 +551,26 @@ def test_stage_catches_jaccard(spark):
     own = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     kept = sorted((r["doc_id"] is None, r["doc_id"]) for r in P.near_dedup(spark, own, "").select("doc_id").collect())
     assert [i for none, i in kept if not none] == sorted({find(i) for i in range(len(texts))}) and len(kept) - 2 == len({find(i) for i in range(len(texts))})
+
+
+def test_licences_as_written(spark):
+    """Full texts, wrapped at several widths, on one line, and in comments."""
+    import textwrap
+
+    mit = [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ]
+    gpl = ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."]
+    mpl = ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."]
+    apache = ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License below.", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."]
+    want = {"MIT": mit, "GPL-3.0-or-later": gpl, "MPL-2.0": mpl, "Apache-2.0": apache, "LicenseRef-all-rights-reserved": ["All  rights\nreserved."]}
+    cases = []
+    for name, own in want.items():
+        cases.append((name, " ".join(own)))
+        for width in (40, 60, 75):
+            wrapped = "\n\n".join(textwrap.fill(p, width) for p in own)
+            cases += [(name, wrapped), (name, "\r\n".join(wrapped.split("\n"))), (name, "\n".join(f" * {x}".rstrip() for x in wrapped.split("\n")))]
+    cases += [("", "All rights\n\nreserved."), ("", "not all rights reserved."), ("", "Permission is hereby granted")]
+    got = scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")).collect()
+    assert [(cases[r["doc_id"]][1], r["licenses"]) for r in got] == [(cases[r["doc_id"]][1], cases[r["doc_id"]][0]) for r in got] and all(r["n_matches"] == bool(r["licenses"]) for r in got)

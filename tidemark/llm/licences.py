@@ -63,20 +63,26 @@ RULES = (
 )
 #: Every sentence above has one of these, so texts without any have none of the sentences.
 HINTS = ("licens", "permi", "copyright", "free software", "merchantability", "public domain", "rights reserved")
-#: Ends of sentences: marks before white space or the end, and line breaks.
+#: Ends of sentences by the SQL: marks before white space or the end, and line breaks. It sees only sentences on one line.
 ENDS = r"[.!?]+(?:[ \t\r]+|$)|[.!?]*\n+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Blank lines, which no sentence crosses (lines without letters and digits are blank), and places where one may end or go on.
+BLANK, MAYBE = r"\n[^a-z0-9\n]*+\n[^a-z0-9]*+", r"[.!?:;]+(?=[ \t\rH]|$)|\n"
+#: A known sentence between two such places or ends, any number of them inside; H and S stand for both kinds, as no other capitals are left.
+WHOLE = "(?:^|[HS]) *+(" + "|".join(s.replace(" ", "[ S]++") for s in sorted(SENTENCES, key=len, reverse=True)) + ")(?= *+(?:[HS]|$))"
+
+
 def identifiers(text: Column) -> Column:
-    """The identifiers of the known sentences of a text, in order."""
+    """The identifiers of the known sentences of a text, in order, wrapped or not."""
     lowered = F.translate(text, _UPPER, _LOWER)
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    sentences = F.transform(F.split(lowered, ENDS), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    found = F.filter(F.transform(sentences, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(lowered, BLANK, "H"), MAYBE, "S"), "[^a-z0-9HS]+", " ")
+    found = F.transform(F.regexp_extract_all(marked, F.lit(WHOLE), 1), lambda s: F.element_at(known, F.regexp_replace(s, "[ S]+", " ")))
     hinted = F.lit(False)
-    for hint in HINTS:
-        hinted = hinted | F.contains(lowered, F.lit(hint))
+    for hint in HINTS:  # by first words, as a hint's words may stand on two lines
+        hinted = hinted | F.contains(lowered, F.lit(hint.split(" ")[0]))
     return F.when(hinted, found).otherwise(F.array().cast("array<string>"))
 
 
