@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,36 +159,55 @@ def _pairs(rows: list[tuple]):
         yield pa.record_batch(columns, [x.split()[0] for x in PRINTED.split(", ")])
 
 
+_LOWEST, _HIGHEST = -(1 << 63), (1 << 63) - 1
+
+
+def _bounds(rows: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """Lower bounds (key, mark) of about ``parts`` ranges of rows (key, mark) of about equal size; a key of many rows is split by mark."""
+    cuts = rows.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)
+    total = rows.count()
+    out = {(_LOWEST, _LOWEST), *((min(int(c), _HIGHEST), _LOWEST) for c in cuts)}
+    heavy = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * parts > 2 * total)  # parts / 2 keys at most
+    for key, n in heavy.collect():
+        pieces = n * parts // total
+        out |= {(key, _LOWEST + (i << 64) // pieces) for i in range(pieces)}
+    return sorted(out)
+
+
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprint each text of ``docs`` (doc_id, text) and its edited text; return PRINTED.
 
     The next document is the next by doc_id, nulls first, ties by the text's hash; after
-    the last comes the first. Rows are dealt to ranges of doc_id, and the first rows of
-    a range are lent to the range before it, so that no task sees more than its range.
-    Null texts are empty; two empty texts are alike (1). Repeated rows are kept. One row
-    alone follows itself; an empty table gives an empty result; other columns are ignored.
+    the last comes the first. Rows are dealt to ranges of doc_id and hash, and the first
+    row of a range is lent to the range before it, so that no task sees more than its
+    range and one row. Ids may have any 64-bit value. Null texts are empty; two empty
+    texts are alike (1). Texts of any length are parsed whole. Repeated rows are kept and
+    follow one another. One row alone follows itself; an empty table gives an empty
+    result; other columns are ignored.
     """
-    lowest = -(1 << 63)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest))
-    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))
+    rows = docs.select(key.alias("key"), F.xxhash64("text").alias("mark"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = max(rows.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # bounds are ids of rows, so a range's first row is its bound; as many as partitions
-    cuts = docs.select(key.alias("key")).approxQuantile("key", [i / parts for i in range(parts)], 0.2 / parts)
-    least = docs.select(F.min(key)).first()[0]
-    if least is None:
+    if rows.isEmpty():
         return docs.sparkSession.createDataFrame([], PRINTED)
-    bounds = sorted({least, *(int(c) for c in cuts if least < c)})
-    n, edges = len(bounds), np.array(bounds)
-
-    @F.pandas_udf("int")
-    def place(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, key.to_numpy(), "right") - 1, dtype="int32")
-
-    own = F.struct(F.col("place").alias("range"), F.lit(False).alias("borrowed"))
-    lent = F.struct(F.pmod(F.col("place") - 1, F.lit(n)).alias("range"), F.lit(True).alias("borrowed"))
-    dealt = rows.withColumn("place", place("key")).select("*", F.inline(F.when(F.col("key").isin(bounds), F.array(own, lent)).otherwise(F.array(own))))
-    ranged = dealt.select("range", "borrowed", "key", "doc_id", "text").repartitionById(n, F.col("range"))
-    return ranged.sortWithinPartitions("borrowed", "key", F.xxhash64("text")).select("doc_id", "text", "borrowed").mapInArrow(_printed, PRINTED)
+    bounds = _bounds(rows.select("key", "mark"), parts)
+    keys, marks = (np.array(x, np.int64) for x in zip(*bounds, strict=True))
+
+    @F.arrow_udf("int")
+    def range_of(key: pa.Array, mark: pa.Array) -> pa.Array:
+        k, m = key.to_numpy(zero_copy_only=False), mark.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(keys, k, "right") - 1
+        while (beyond := (keys[at] == k) & (marks[at] > m)).any():
+            at[beyond] -= 1
+        return pa.array(at.astype(np.int32))
+
+    dealt = rows.withColumn("range", range_of("key", "mark"))
+    least = sorted((r, *first) for r, first in dealt.groupBy("range").agg(F.min(F.struct("key", "mark"))).collect())  # a row a range
+    before = docs.sparkSession.createDataFrame([(least[i - 1][0], k, m) for i, (_, k, m) in enumerate(least)], "before int, key long, mark long")
+    lent = rows.join(F.broadcast(before), ["key", "mark"]).select(F.col("before").alias("range"), F.lit(True).alias("borrowed"), "key", "mark", "doc_id", "text")
+    own = dealt.select("range", F.lit(False).alias("borrowed"), "key", "mark", "doc_id", "text")
+    ranged = own.union(lent.dropDuplicates(["range"])).repartitionById(len(bounds), F.col("range"))
+    return ranged.sortWithinPartitions("borrowed", "key", "mark").select("doc_id", "text", "borrowed").mapInArrow(_printed, PRINTED)
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
