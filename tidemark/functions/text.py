@@ -39,6 +39,10 @@ TAG = r"<[^>]+>"
 PCT = r"(?i)\b\d+(?:[.,]\d+)?\s*(?:%|(?:percent|per cent|pct)\b)"
 MONEY = r"(?i)[$€£¥₹]\s?\d[\d.,]*\s?(?:bn|billion|mn|million|trillion|tn|k)?"
 NUM = r"\b\d[\d.,]*\b"
+# Tracking parameters of addresses, the title in a page, and file endings of addresses.
+TRACKING = "[?&](utm_[^=&]+|fbclid|gclid|ref|src|amp)=[^&]*"
+PAGE_TITLE = r"(?is)<title>(.*?)</title>"
+ENDINGS = (".html", ".htm", ".shtml", ".php", ".aspx", ".asp", ".cms")
 
 
 @F.pandas_udf(T.StringType())
@@ -67,7 +71,7 @@ def normal_title(title: Column) -> Column:
 def canonical_url(url: Column) -> Column:
     """Address without fragment and tracking parameters, lower case; null to empty."""
     out = F.split_part(F.coalesce(url, F.lit("")), F.lit("#"), F.lit(1))
-    out = F.regexp_replace(out, "[?&](utm_[^=&]+|fbclid|gclid|ref|src|amp)=[^&]*", "")
+    out = F.regexp_replace(out, TRACKING, "")
     return F.lower(F.regexp_replace(out, "[?&/]+$", ""))
 
 
@@ -125,10 +129,10 @@ def lemma(word: Column) -> Column:
 
 
 def track_a(text: Column, least: int = 3) -> Column:
-    """Bag-of-words text: stripped, names canonical, contractions open, numbers masked, stop words out, lemmas; short texts empty."""
-    out = expand_contractions(F.lower(strip_boilerplate(text)))
-    out = strip_punctuation(mask_numbers(canonical_names(out)))
-    words = F.filter(F.transform(drop_stop_words(tokens(out)), lemma), lambda w: F.length(w) > 1)
+    """Bag-of-words text: stripped, names canonical, contractions open, numbers masked, then lower case, stop words out, lemmas; short texts empty."""
+    out = mask_numbers(expand_contractions(canonical_names(strip_boilerplate(text))))
+    words = tokens(strip_punctuation(F.lower(out)))
+    words = F.filter(F.transform(drop_stop_words(words), lemma), lambda w: F.length(w) > 1)
     return F.when(F.size(words) >= least, F.array_join(words, " ")).otherwise("")
 
 
@@ -154,14 +158,16 @@ def ngrams(words: Column, n: int) -> Column:
 
 def page_title(page: Column) -> Column:
     """Text between the title tags, trimmed; null where there is none."""
-    return F.nullif(F.trim(F.regexp_extract(page, r"(?is)<title>(.*?)</title>", 1)), F.lit(""))
+    return F.nullif(F.trim(F.regexp_extract(page, PAGE_TITLE, 1)), F.lit(""))
 
 
 def slug_title(url: Column, least: int = 4) -> Column:
-    """Words of the path segment with most alphabetic words, the first of equals; null below ``least`` words."""
+    """Words of the path segment with most words of letters, of any script, the first of equals; null below ``least`` words."""
     path = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1))
-    segments = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.regexp_replace(s, r"\.(html?|php|aspx?|jsp|shtml)$", ""))
-    words = F.transform(segments, lambda s: F.filter(F.split(s, "[-_+]"), lambda w: w.rlike("^[a-z]+$")))
+    path = F.regexp_replace(path, ";[^/]*$", "")
+    ending = "(" + "|".join(e.replace(".", r"\.") for e in ENDINGS) + ")$"
+    segments = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.regexp_replace(s, ending, ""))
+    words = F.transform(segments, lambda s: F.filter(F.split(s, "[-_+]"), lambda w: w.rlike(r"^\p{L}+$")))
     best = F.aggregate(words, F.array().cast("array<string>"), lambda a, w: F.when(F.size(w) > F.size(a), w).otherwise(a))
     return F.when(F.size(best) >= least, F.array_join(best, " "))
 

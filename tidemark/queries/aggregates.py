@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators import quality as Q
 from ..operators import windows as N
@@ -58,11 +59,11 @@ def geo_hhi(spark, d):
     return n.groupBy("local_date").agg(r6(A.herfindahl(F.col("n").cast("double")), "hhi"), F.count("*").alias("n_countries"))
 
 
-@query("SELECT source, round(avg(len(string_split(trim(regexp_replace(split_part(text, chr(10), 1), '[ \t]+', ' ', 'g')), ' '))), 6) AS mean_title_words FROM documents WHERE trim(split_part(text, chr(10), 1)) <> '' GROUP BY 1")
+@query("SELECT host, round(avg(len(string_split(t, ' '))), 6) AS mean_title_words FROM (SELECT regexp_extract(url, '//([^/]+)', 1) AS host, trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '[ \t]+', ' ', 'g')) AS t FROM pages) WHERE t <> '' GROUP BY 1")
 def headline_length(spark, d):
-    title = F.trim(F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), "[ \t]+", " "))
-    t = table(spark, d, "documents").select("source", title.alias("t")).where("t <> ''")
-    return t.groupBy("source").agg(r6(F.avg(F.size(F.split("t", " "))), "mean_title_words"))
+    title = F.trim(F.regexp_replace(F.regexp_extract("html", X.PAGE_TITLE, 1), "[ \t]+", " "))
+    t = table(spark, d, "pages").select(F.regexp_extract("url", "//([^/]+)", 1).alias("host"), title.alias("t")).where("t <> ''")
+    return t.groupBy("host").agg(r6(F.avg(F.size(F.split("t", " "))), "mean_title_words"))
 
 
 @query(f"WITH {ART} SELECT local_date, round(sum(tone * ln(1 + dup_count)) / sum(CASE WHEN tone IS NOT NULL THEN ln(1 + dup_count) END), 6) AS tone, round(sum(tone * dup_count) / sum(CASE WHEN tone IS NOT NULL THEN dup_count END), 6) AS tone_linear FROM art GROUP BY 1")

@@ -9,8 +9,8 @@ from ..operators import gates as G
 from ..sources import articles as S
 from .base import query, r6, table
 
-#: Documents as articles: first line, in ASCII, as title, source as domain, language as country.
-DOC = """da AS (SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '[^ -~]', 'x', 'g') AS title, CASE WHEN source IN ('src1', 'src2') THEN 'www.' || source || '.co.uk' WHEN source = 'src3' THEN 'my' || source || '.com'
+#: Documents as articles: the text, in ASCII, as title, source as domain, language as country.
+DOC = """da AS (SELECT doc_id, regexp_replace(text, '[^ -~]', 'x', 'g') AS title, CASE WHEN source IN ('src1', 'src2') THEN 'www.' || source || '.co.uk' WHEN source = 'src3' THEN 'my' || source || '.com'
  ELSE source || '.com' END AS domain, upper(lang) AS country, doc_id % 7 = 0 AS is_duplicate, CASE WHEN doc_id % 3 = 0 THEN 'energy' WHEN doc_id % 3 = 1 THEN 'trade' ELSE 'conflict' END AS theme_family FROM documents)"""
 TIERS = {1: ("src1.co.uk", "src4.com"), 2: ("src5.com", "src6.com", "src3.com")}
 STATE = ("src5.com",)
@@ -32,7 +32,7 @@ GATED = TIERED + f""", ga AS (SELECT *, NOT is_blocked_domain AS pass_source, co
 def doc_articles(spark, d):
     s = F.col("source")
     return table(spark, d, "documents").select(
-        "doc_id", F.regexp_replace(F.split_part("text", F.lit("\n"), F.lit(1)), "[^ -~]", "x").alias("title"),
+        "doc_id", F.regexp_replace("text", "[^ -~]", "x").alias("title"),
         F.when(s.isin("src1", "src2"), F.concat(F.lit("www."), s, F.lit(".co.uk"))).when(s == "src3", F.concat(F.lit("my"), s, F.lit(".com"))).otherwise(F.concat(s, F.lit(".com"))).alias("domain"),
         F.upper("lang").alias("country"), (F.col("doc_id") % 7 == 0).alias("is_duplicate"),
         F.when(F.col("doc_id") % 3 == 0, "energy").when(F.col("doc_id") % 3 == 1, "trade").otherwise("conflict").alias("theme_family"),
@@ -93,11 +93,11 @@ def kept_scan(spark, d):
     return gated(spark, d).where("keep").select("doc_id", "title")
 
 
-@query("""WITH t AS (SELECT doc_id, string_split(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z ]', '', 'g'), ' ') AS w FROM documents)
+@query("""WITH t AS (SELECT doc_id, string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' ') AS w FROM documents)
  SELECT doc_id, list_has_any(w, ['the', 'that']) AS en, list_has_any(w, ['der', 'und']) AS de, len(list_intersect(list_distinct(w), ['the', 'that', 'der', 'und', 'and']))::INTEGER AS n FROM t""")
 def theme_tokens(spark, d):
     """Exact tokens: a code that starts with another one is not it."""
-    title = F.regexp_replace(F.lower(F.split_part("text", F.lit("\n"), F.lit(1))), "[^a-z ]", "")
+    title = F.regexp_replace(F.lower("text"), "[^a-z ]", "")
     t = table(spark, d, "documents").select("doc_id", X.theme_tokens(F.replace(title, F.lit(" "), F.lit(";")), F.replace(title, F.lit(" "), F.lit(",1;"))).alias("w"))
     own = lambda *x: F.array(*[F.lit(i) for i in x])
     return t.select("doc_id", F.arrays_overlap("w", own("the", "that")).alias("en"), F.arrays_overlap("w", own("der", "und")).alias("de"), F.size(F.array_intersect("w", own("the", "that", "der", "und", "and"))).alias("n"))

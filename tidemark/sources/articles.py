@@ -65,7 +65,7 @@ def parse_records(lines: DataFrame, families: Mapping[str, Iterable[str]]) -> Da
     slug = X.slug_title(F.col("f")[URL])
     return f.withColumn("families", own).where(F.size("families") > 0).select(
         F.col("f")[DATE].alias("date"), F.lower(F.col("f")[DOMAIN]).alias("domain"), F.col("f")[URL].alias("url"), F.coalesce(page, slug).alias("title"),
-        F.when(page.isNotNull(), "page").when(slug.isNotNull(), "slug").alias("title_source"), "families", X.first_double(F.col("f")[TONE]).alias("tone"), primary_country(F.col("f")[PLACES]).alias("country"),
+        F.when(page.isNotNull(), "page_title").when(slug.isNotNull(), "url_slug").alias("title_source"), "families", X.first_double(F.col("f")[TONE]).alias("tone"), primary_country(F.col("f")[PLACES]).alias("country"),
     )
 
 
