@@ -137,6 +137,9 @@ def test_titles_and_slugs(spark):
     assert text(spark, "<html><title> A &amp; B </title>", X.page_title) == "A &amp; B"
     assert text(spark, "https://x.com/2017/01/03/china-slaps-new-tariffs-on-us-goods.html", X.slug_title) == "china slaps new tariffs on us goods"
     assert text(spark, "https://x.com/a/b-c.html", X.slug_title) is None
+    assert text(spark, "https://x.com/short-one-of-4/oil_prices+rise-again-today.cms;v=2?a=b", X.slug_title) == "oil prices rise again today"
+    assert text(spark, "https://x.com/élections-à-paris-demain-2024.htm", X.slug_title) == "élections à paris demain"
+    assert text(spark, "https://x.com/one-two-three-four.jsp", X.slug_title) is None
     assert text(spark, "HTTP://X.com/a?utm_source=1&id=2#x", X.canonical_url) == "http://x.com/a&id=2"
 
 
@@ -150,8 +153,8 @@ def test_records(spark):
     rows = [record(), record(f8="ENV_OIL,120;MILITARY,40", f9="1#a#US#x;1#b#CH#y;1#c#CH#z", f26="x<PAGE_TITLE>Fed &amp; ECB hold rates</PAGE_TITLE>"), record(f7="ENV_OIL"), ("short",)]
     got = S.parse_records(frame(spark, rows, "value string"), families).collect()
     assert [r["families"] for r in got] == [["energy", "conflict"], ["energy"]]
-    assert (got[0]["title"], got[0]["title_source"], got[0]["country"], got[0]["tone"]) == ("Fed & ECB hold rates", "page", "CH", 1.5)
-    assert (got[1]["title"], got[1]["title_source"], got[1]["country"]) == ("china slaps new tariffs on us goods", "slug", None)
+    assert (got[0]["title"], got[0]["title_source"], got[0]["country"], got[0]["tone"]) == ("Fed & ECB hold rates", "page_title", "CH", 1.5)
+    assert (got[1]["title"], got[1]["title_source"], got[1]["country"]) == ("china slaps new tariffs on us goods", "url_slug", None)
     assert S.explode_families(S.parse_records(frame(spark, rows, "value string"), families)).count() == 3
 
 
@@ -225,7 +228,7 @@ def test_metrics_and_bootstrap(spark):
     df = frame(spark, rows, "i int, y string, p string")
     m = df.agg(*[c.alias(n) for n, c in V.classification(F.col("y"), F.col("p")).items()]).first()
     assert (m["accuracy"], m["coverage"], m["hit_rate"]) == (0.5, 0.5, 0.5)
-    r = V.interval(V.bootstrap_gain(df, V.block_starts(60, 10, 20, 1), 10, "y", "p", "p")).first()
+    r = V.interval(V.bootstrap_gain(df, "y", "p", "p", 10, 20, 1)).first()
     assert (r["low"], r["high"], r["p_no_gain"]) == (0.0, 0.0, 1.0)
     z = frame(spark, [(1.0, 0.0), (-2.0, 0.0)], "y double, p double").agg(V.regression(F.col("y"), F.col("p"))["r2_vs_zero"]).first()[0]
     assert z == 0.0

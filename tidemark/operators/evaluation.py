@@ -46,21 +46,21 @@ def confusion(df: DataFrame, true: str, pred: str) -> DataFrame:
     return counts.select(F.inline(F.array(*[F.struct(F.lit(a).alias("true"), F.lit(b).alias("pred"), F.col(f"{a}|{b}").alias("n")) for a in CLASSES for b in CLASSES])))
 
 
-def block_starts(n: int, block: int, reps: int, seed: int) -> list[list[int]]:
-    """Starts of the blocks of each resample, drawn on the driver: a few numbers a repetition."""
-    rng = np.random.default_rng(seed)
+def block_draws(spark, n: int, block: int, reps: int, seed: int) -> DataFrame:
+    """(rep, k, start): the starts of the blocks of each resample of ``n`` rows, hashed from the seed and their numbers."""
     each = math.ceil(n / block)
-    return rng.integers(0, max(1, n - block + 1), size=(reps, each)).tolist()
+    drawn = spark.range(reps * each).select((F.col("id") / each).cast("int").alias("rep"), (F.col("id") % each).cast("int").alias("k"))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "rep", "k")), 1, 12), 16, 10).cast("long")
+    return drawn.select("rep", "k", (hashed % max(1, n - block + 1)).cast("int").alias("start"))
 
 
-def bootstrap_gain(df: DataFrame, starts: list[list[int]], block: int, true: str, a: str, b: str) -> DataFrame:
+def bootstrap_gain(df: DataFrame, true: str, a: str, b: str, block: int = 10, reps: int = 1000, seed: int = 42) -> DataFrame:
     """(rep, gain): macro F1 of b minus that of a over the same blocks of rows; df has a row number ``i`` from 0.
 
     A resample has as many rows as the table: the last block is cut.
     """
-    spark = df.sparkSession
     n = df.count()
-    drawn = spark.createDataFrame([(r, k, s) for r, own in enumerate(starts) for k, s in enumerate(own)], "rep int, k int, start int")
+    drawn = block_draws(df.sparkSession, n, block, reps, seed)
     rows = drawn.select("rep", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o"), "k", "start").where(F.col("k") * block + F.col("o") < n)
     picked = rows.select("rep", (F.col("start") + F.col("o")).alias("i")).join(df.select(F.col("i").cast("int").alias("i"), true, a, b), "i")
     return picked.groupBy("rep").agg((macro_f1(F.col(true), F.col(b)) - macro_f1(F.col(true), F.col(a))).alias("gain"))

@@ -52,17 +52,15 @@ def confusion(spark, d):
     return V.confusion(predictions(spark, d), "truth", "a")
 
 
-_STARTS = V.block_starts(60, 10, 40, 42)
-_DRAWN = ", ".join(f"({r}, {k}, {s})" for r, own in enumerate(_STARTS) for k, s in enumerate(own))
-
-
-@query(f"""WITH {PRED}, i AS (SELECT truth, a, b, row_number() OVER (ORDER BY date) - 1 AS i FROM pd), t AS (SELECT * FROM i WHERE i < 60), dr(rep, k, start) AS (VALUES {_DRAWN}),
- rw AS (SELECT rep, start + o AS i FROM dr, generate_series(0, 9) g(o)), s AS (SELECT rep, {_macro('b')} - {_macro('a')} AS gain FROM rw JOIN t USING (i) GROUP BY rep)
+@query(f"""WITH {PRED}, t AS (SELECT truth, a, b, row_number() OVER (ORDER BY date) - 1 AS i FROM pd), m AS (SELECT count(*) AS n, CAST(ceil(count(*) / 10.0) AS BIGINT) AS each FROM t),
+ dr AS (SELECT id // each AS rep, id % each AS k, n FROM (SELECT unnest(generate_series(0, 1000 * each - 1)) AS id, each, n FROM m)),
+ st AS (SELECT rep, k, n, ('0x' || substr(md5('42|' || rep || '|' || k), 1, 12))::BIGINT % greatest(n - 9, 1) AS start FROM dr),
+ rw AS (SELECT rep, start + o AS i FROM st, generate_series(0, 9) g(o) WHERE k * 10 + o < n), s AS (SELECT rep, {_macro('b')} - {_macro('a')} AS gain FROM rw JOIN t USING (i) GROUP BY rep)
  SELECT round(avg(gain), 6) AS mean, round(quantile_cont(gain, 0.025), 6) AS low, round(quantile_cont(gain, 0.975), 6) AS high, round(avg((gain <= 0)::INT), 6) AS p_no_gain FROM s""")
-def bootstrap_fixed(spark, d):
-    """Gain of one prediction over another on 40 resamples of the first 60 days, in blocks of 10 (the operator's own limits)."""
-    t = predictions(spark, d).withColumn("i", F.row_number().over(by_date()) - 1).where("i < 60")
-    return V.interval(V.bootstrap_gain(t, _STARTS, 10, "truth", "a", "b")).select(*[r6(c, c) for c in ("mean", "low", "high", "p_no_gain")])
+def bootstrap_gain(spark, d):
+    """Gain of one prediction over another on 1,000 resamples of all days, in blocks of 10."""
+    t = predictions(spark, d).withColumn("i", F.row_number().over(by_date()) - 1)
+    return V.interval(V.bootstrap_gain(t, "truth", "a", "b")).select(*[r6(c, c) for c in ("mean", "low", "high", "p_no_gain")])
 
 
 @query(f"""WITH {PRED}, r AS (SELECT 'm' AS model, split, {_macro('a')} AS ma, {_macro('b')} AS mb FROM pd GROUP BY 2) SELECT model, split, round(ma, 6) AS base, round(mb, 6) AS other, round(mb - ma, 6) AS gain FROM r""")
