@@ -54,27 +54,53 @@ def bands(fp: Column) -> Column:
     return F.array(*[own(i) for i in range(BANDS)])
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Lineage cut by a checkpoint in the shared folder that the session names, else by caching (local runs)."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def url_edges(df: DataFrame) -> DataFrame:
-    """Each row with the earliest row of its canonical address, at any distance in time."""
-    first = F.min(F.struct("t", "id")).over(W.partitionBy("canon"))
-    return df.where("canon <> ''").select("id", first["id"].alias("root")).where("id <> root")
+    """Each row with the earliest row of its canonical address, at any distance in time.
+
+    A minimum and a join, so that a very common address is pre-aggregated and its rows
+    can be split over tasks.
+    """
+    own = df.where("canon <> ''")
+    first = own.groupBy("canon").agg(F.min(F.struct("t", "id")).alias("first"))
+    return own.join(first, "canon").select("id", F.col("first.id").alias("root")).where("id <> root")
+
+
+def _windows(df: DataFrame, window_s: int) -> DataFrame:
+    """(norm, at, root): the anchors of each title that occurs more than once; ``df`` has norm, t, id.
+
+    The fold runs over a title's distinct times, not its rows: these come from a grid of
+    file stamps, however common the title.
+    """
+    times = df.groupBy("norm", "t").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    many = times.groupBy("norm").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("t")).alias("times")).where("n > 1")
+    start = F.struct(F.lit(None).cast("long").alias("t"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(a, t):
+        new = a["t"].isNull() | (t - a["t"] > window_s)
+        return F.struct(F.when(new, t).otherwise(a["t"]).alias("t"), F.when(new, F.concat(a["out"], F.array(t))).otherwise(a["out"]).alias("out"))
+
+    anchors = many.select("norm", F.explode(F.aggregate("times", start, step, lambda a: a["out"])).alias("at"))
+    return anchors.join(times.select("norm", F.col("t").alias("at"), F.col("first").alias("root")), ["norm", "at"])
 
 
 def title_edges(df: DataFrame, window_s: int = WINDOW_S) -> DataFrame:
     """Rows of one title with the anchor of their window.
 
     The first row is an anchor; a row more than the window after the anchor is the next
-    one. Anchored windows, not gaps: a fold over a title's rows in time.
+    one: anchored windows, not gaps. Rows meet anchors by title and time slot, two slots
+    an anchor, so a common title is many keys.
     """
-    rows = df.where("norm <> ''").groupBy("norm").agg(F.array_sort(F.collect_list(F.struct("t", "id"))).alias("rows")).where(F.size("rows") > 1)
-    start = F.struct(F.lit(None).cast("long").alias("t"), F.lit(None).cast("long").alias("anchor"), F.array().cast("array<struct<id:bigint,root:bigint>>").alias("out"))
-
-    def step(a, r):
-        new = a["t"].isNull() | (r["t"] - a["t"] > window_s)
-        anchor = F.when(new, r["id"]).otherwise(a["anchor"])
-        return F.struct(F.when(new, r["t"]).otherwise(a["t"]).alias("t"), anchor.alias("anchor"), F.concat(a["out"], F.array(F.struct(r["id"].alias("id"), anchor.alias("root")))).alias("out"))
-
-    return rows.select(F.inline(F.aggregate("rows", start, step, lambda a: a["out"]))).where("id <> root")
+    own = df.where("norm <> ''").select("norm", "t", "id")
+    slot = lambda t: F.floor(t / window_s)
+    anchors = _windows(own, window_s).withColumn("slot", F.explode(F.array(slot(F.col("at")), slot(F.col("at")) + 1)))
+    met = own.withColumn("slot", slot(F.col("t"))).join(anchors, ["norm", "slot"]).where((F.col("t") >= F.col("at")) & (F.col("t") - F.col("at") <= window_s))
+    # the windows of a title do not overlap, so a row meets one anchor
+    return met.select("id", "root").where("id <> root")
 
 
 def near_pairs(df: DataFrame, window_s: int = WINDOW_S, most: int = MOST_BITS) -> DataFrame:
@@ -90,46 +116,74 @@ def near_pairs(df: DataFrame, window_s: int = WINDOW_S, most: int = MOST_BITS) -
     return joined.select("id", "root").distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, root): the least id reachable over undirected edges (id, root), by min-label propagation with pointer jumping.
+def linking_pairs(df: DataFrame, window_s: int = WINDOW_S, most: int = MOST_BITS) -> DataFrame:
+    """Pairs (id, root) that connect the same rows as :func:`near_pairs` does, of rows id, t, fp.
 
-    Each round is checkpointed where the session has a checkpoint folder.
+    Rows of one fingerprint and slot lie within the window of one another, so each is
+    linked to the earliest, and fingerprints of a slot meet once. Two of neighbouring
+    slots are linked where the last row of one and the first of the other are near.
+    """
+    slot = F.floor(F.col("t") / window_s)
+    keyed = df.select("id", "t", "fp", slot.alias("slot"))
+    kinds = cut(keyed.groupBy("fp", "slot").agg(F.min(F.struct("t", "id")).alias("first"), F.max("t").alias("last")).select("fp", "slot", F.col("first.id").alias("root"), F.col("first.t").alias("t"), "last"))
+    within = keyed.join(kinds.select("fp", "slot", "root"), ["fp", "slot"]).select("id", "root").where("id <> root")
+    b = kinds.select("root", "t", "fp", "slot", F.inline(bands(F.col("fp"))))
+    early = kinds.select("last", F.col("root").alias("other"), F.col("fp").alias("fp0"), F.col("slot").alias("slot0"), F.inline(bands(F.col("fp"))))
+    early = early.withColumn("slot", F.explode(F.array(F.col("slot0"), F.col("slot0") + 1)))
+    met = b.join(early, ["band", "value", "slot"]).where((F.col("root") != F.col("other")) & (hamming(F.col("fp"), F.col("fp0")) <= most) & ((F.col("slot0") == F.col("slot")) | (F.col("t") - F.col("last") <= window_s)))
+    return within.union(met.select(F.col("root").alias("id"), F.col("other").alias("root")).distinct())
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, root): the least id reachable over undirected edges (id, root), for every id of ``nodes``.
+
+    Each round every node hooks to its neighbour of least hashed order, and edges are
+    replaced by edges of parents, until none is left: edges shrink by a constant factor a
+    round, long chains too, and hubs meet in partial minima and joins that can be split.
     """
-    spark = nodes.sparkSession
-    keep = (lambda x: x.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda x: x.persist())
-    both = edges.select(F.col("id").alias("a"), F.col("root").alias("b")).union(edges.select(F.col("root").alias("a"), F.col("id").alias("b"))).distinct().persist()
-    labels = nodes.select("id", F.col("id").alias("root"))
-    for _ in range(rounds):
-        heard = both.join(labels.select(F.col("id").alias("b"), F.col("root").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
-        new = labels.join(heard, "id", "left").select("id", "root", F.least("root", "other").alias("new"))
-        jump = new.select(F.col("id").alias("new"), F.col("new").alias("far"))
-        new = keep(new.join(jump, "new", "left").select("id", "root", F.least("new", "far").alias("new")))
-        done = new.where("new <> root").isEmpty()
-        labels = new.select("id", F.col("new").alias("root"))
-        if done:
-            break
-    return labels
+    order = lambda c: F.struct(F.xxhash64(c).alias("order"), F.col(c).alias("id"))
+    left = cut(edges.select(F.least("id", "root").alias("a"), F.greatest("id", "root").alias("b")).where("a < b").distinct())
+    rounds = []
+    while not left.isEmpty():
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooked = both.groupBy("a").agg(F.min(order("b")).alias("m")).select(F.col("a").alias("node"), F.least(order("a"), F.col("m"))["id"].alias("parent"))
+        rounds.append(cut(hooked))
+        up = lambda c: rounds[-1].select(F.col("node").alias(c), F.col("parent").alias(f"p{c}"))
+        left = cut(left.join(up("a"), "a").join(up("b"), "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a < b").distinct())
+    if not rounds:
+        return nodes.select("id", F.col("id").alias("root"))
+    top = rounds[0]
+    for later in rounds[1:]:
+        top = top.join(later.select(F.col("node").alias("parent"), F.col("parent").alias("next")), "parent", "left").select("node", F.coalesce("next", "parent").alias("parent"))
+    least = top.groupBy("parent").agg(F.min("node").alias("least"))
+    found = top.join(least, "parent").select(F.col("node").alias("id"), "least")
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("least", "id").alias("root"))
 
 
 def deduplicate(df: DataFrame, key: str, title: str, url: str, seen: str, window_s: int = WINDOW_S, most: int = MOST_BITS) -> DataFrame:
     """Add cluster_id, is_duplicate and dup_count (on every member) to articles; the earliest row of a cluster is its root.
 
-    Rows are numbered by time and key, so that the least number is the earliest row.
+    Every row comes back once, rows with null or repeated keys too. Rows are numbered by
+    time and key, so that the least number is the earliest row; rows without a time come
+    last and are linked by address alone. Equal rows are interchangeable.
     """
-    base = df.select(F.col(key).alias("_key"), D.epoch(F.col(seen)).alias("t"), X.normal_title(F.col(title)).alias("norm"), X.canonical_url(F.col(url)).alias("canon"))
-    # a number in time order without a global sort's single task: ranked within days after days are counted
-    day = base.withColumn("day", F.floor(F.col("t") / 86400))
-    before = F.coalesce(F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = day.groupBy("day").agg(F.count("*").alias("n")).select("day", before.alias("start"))
-    rows = day.join(starts, "day").withColumn("id", (F.col("start") + F.row_number().over(W.partitionBy("day").orderBy("t", "_key"))).cast("long")).persist()
-    prints = simhash(rows, "id", F.col("norm")).join(rows.where("norm <> ''").select("id", "t"), "id")
-    edges = url_edges(rows).union(title_edges(rows, window_s)).union(near_pairs(prints, window_s, most))
-    found = components(rows, edges)
-    size = F.count("*").over(W.partitionBy("root"))
-    marked = rows.select("id", "_key").join(found, "id").select("_key", "id", "root", size.alias("dup_count"))
-    roots = marked.where("id = root").select("root", F.col("_key").alias("cluster_id"))
-    out = marked.join(roots, "root").select(F.col("_key").alias(key), "cluster_id", (F.col("id") != F.col("root")).alias("is_duplicate"), "dup_count")
-    return df.join(out, key)
+    t = D.epoch(F.col(seen))
+    base = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), t.alias("t"), X.normal_title(F.col(title)).alias("norm"), X.canonical_url(F.col(url)).alias("canon"), F.col(key).alias("key"))
+    # a number in time order without a global sort's single task: ranked within hours after hours are counted
+    hour = base.withColumn("hour", F.floor(F.col("t") / 3600))
+    before = F.coalesce(F.sum("n").over(W.orderBy(F.asc_nulls_last("hour")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = hour.groupBy("hour").agg(F.count("*").alias("n")).select(F.col("hour").alias("at"), before.alias("start"))
+    own = F.row_number().over(W.partitionBy("hour").orderBy("t", "key", F.xxhash64(F.to_json("row"))))
+    rows = cut(hour.withColumn("own", own).join(starts, F.col("hour").eqNullSafe(F.col("at"))).select("row", "t", "norm", "canon", "key", (F.col("start") + F.col("own")).cast("long").alias("id")))
+    timed = rows.where("t is not null and norm <> ''")
+    prints = simhash(timed, "id", F.col("norm")).join(timed.select("id", "t"), "id")
+    late = F.coalesce("t", F.lit((1 << 62)))
+    edges = url_edges(rows.withColumn("t", late)).union(title_edges(timed, window_s)).union(linking_pairs(prints, window_s, most))
+    found = cut(components(rows, edges))
+    size = found.groupBy("root").agg(F.count("*").alias("dup_count"))
+    roots = size.join(rows.select(F.col("id").alias("root"), F.col("key").alias("cluster_id")), "root")
+    out = rows.join(found, "id").join(roots, "root")
+    return out.select(*[F.col(f"row.`{c}`") for c in df.columns], "cluster_id", (F.col("id") != F.col("root")).alias("is_duplicate"), "dup_count")
 
 
 def top_syndicated(df: DataFrame, n: int, key: str) -> DataFrame:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import dedup as P
 from ..operators import sampling as M
 from ..sources import articles as S
 from .base import ART, articles, query, table
 
-#: Titles seen an hour apart a document; a third of the titles is shared by neighbours.
-TT = """tt AS (SELECT doc_id AS id, doc_id * 3600 AS t, trim(regexp_replace(lower(substr(split_part(text, chr(10), 1), 1, 40)), '[^a-z0-9]+', ' ', 'g')) AS norm, source || CAST(doc_id // 3 AS VARCHAR) AS canon FROM documents)"""
+#: Whole page titles seen an hour apart a page; addresses cut to hosts, so that neighbours share some.
+TT = """tt AS (SELECT page_id AS id, page_id * 3600 AS t, trim(regexp_replace(lower(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '[^a-z0-9]+', ' ', 'g')) AS norm,
+ regexp_extract(url, '//([^/]+)', 1) || CAST(page_id // 30 AS VARCHAR) AS canon FROM pages)"""
 _BITS = " + ".join(f"CASE WHEN sum(CASE WHEN ({h} >> {b}) & 1 = 1 THEN 1 ELSE -1 END) > 0 THEN CAST({1 << b} AS HUGEINT) * {mult} ELSE 0 END" for h, mult in (("hi", 1 << 32), ("lo", 1)) for b in range(32))
 SH = TT + f""", sg AS (SELECT id, unnest(CASE WHEN length(norm) = 0 THEN [NULL] ELSE list_transform(generate_series(1, greatest(length(norm) - 3, 1)), lambda i: substr(norm, i, 4)) END) AS s FROM tt),
  hh AS (SELECT id, ('0x' || substr(md5(s), 1, 8))::BIGINT AS hi, ('0x' || substr(md5(s), 9, 8))::BIGINT AS lo FROM sg),
@@ -19,8 +21,9 @@ SH = TT + f""", sg AS (SELECT id, unnest(CASE WHEN length(norm) = 0 THEN [NULL]
 
 
 def titles(spark, d):
-    norm = F.trim(F.regexp_replace(F.lower(F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 40)), "[^a-z0-9]+", " "))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") * 3600).alias("t"), norm.alias("norm"), F.concat("source", F.floor(F.col("doc_id") / 3)).alias("canon"))
+    norm = F.trim(F.regexp_replace(F.lower(F.regexp_extract("html", X.PAGE_TITLE, 1)), "[^a-z0-9]+", " "))
+    canon = F.concat(F.regexp_extract("url", "//([^/]+)", 1), F.floor(F.col("page_id") / 30))
+    return table(spark, d, "pages").select(F.col("page_id").alias("id"), (F.col("page_id") * 3600).alias("t"), norm.alias("norm"), canon.alias("canon"))
 
 
 def prints(spark, d):
@@ -38,11 +41,13 @@ def simhash(spark, d):
     return prints(spark, d).select("id", "fp")
 
 
-@query(f"WITH {SH} SELECT a.id AS id, b.id AS other, bit_count(xor(a.fp, b.fp))::INTEGER AS bits FROM fp a JOIN fp b ON b.id = a.id + 20")
+@query(f"WITH {SH}, r AS (SELECT id, first_value(id) OVER (PARTITION BY canon ORDER BY t, id) AS other FROM tt) SELECT r.id AS id, other, bit_count(xor(a.fp, b.fp))::INTEGER AS bits FROM r JOIN fp a ON a.id = r.id JOIN fp b ON b.id = other WHERE r.id <> other")
 def hamming_pairs(spark, d):
+    """Bits in which each title's fingerprint differs from that of the first of its address."""
     p = prints(spark, d).select("id", "fp")
-    q = p.select((F.col("id") - 20).alias("id"), F.col("id").alias("other"), F.col("fp").alias("fp2"))
-    return p.join(q, "id").select("id", "other", P.hamming(F.col("fp"), F.col("fp2")).alias("bits"))
+    pairs = P.url_edges(titles(spark, d)).withColumnRenamed("root", "other")
+    q = p.select(F.col("id").alias("other"), F.col("fp").alias("fp2"))
+    return pairs.join(p, "id").join(q, "other").select("id", "other", P.hamming(F.col("fp"), F.col("fp2")).alias("bits"))
 
 
 @query(f"WITH {SH}, b AS (SELECT id, unnest(generate_series(0, 6)) AS band, fp FROM fp) SELECT id, band::INTEGER AS band, (CASE WHEN band = 0 THEN fp & 511 ELSE (fp >> (band * 9)) & 511 END)::BIGINT AS value FROM b")
@@ -86,23 +91,23 @@ _FULL = f"""WITH RECURSIVE {SH}, {_NEXT}, go AS (SELECT id, t, norm, i, t AS at,
  {_PAIRS.format(w=172800).replace("SELECT * FROM fp JOIN tt USING (id)", "SELECT * FROM fp JOIN tt USING (id) WHERE norm <> ''")},
  ed AS (SELECT id, root FROM go UNION SELECT id, root FROM np UNION SELECT id, first_value(id) OVER (PARTITION BY canon ORDER BY t, id) FROM tt), both_ AS (SELECT id AS a, root AS b FROM ed UNION SELECT root, id FROM ed),
  re AS (SELECT id AS a, id AS b FROM tt UNION SELECT re.a, both_.b FROM re JOIN both_ ON re.b = both_.a), rt AS (SELECT a AS id, min(b) AS cluster_id FROM re GROUP BY 1),
- cl AS (SELECT id AS doc_id, cluster_id, id <> cluster_id AS is_duplicate, count(*) OVER (PARTITION BY cluster_id) AS dup_count FROM rt)"""
+ cl AS (SELECT id AS page_id, cluster_id, id <> cluster_id AS is_duplicate, count(*) OVER (PARTITION BY cluster_id) AS dup_count FROM rt)"""
 
 
 def _articles(spark, d):
-    """Documents with normal titles as titles, so that normalising again changes nothing."""
+    """Pages with normal titles as titles, so that normalising again changes nothing."""
     at = F.timestamp_add("SECOND", F.col("t"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
-    return titles(spark, d).select(F.col("id").alias("doc_id"), F.col("norm").alias("title"), F.col("canon").alias("url"), at.alias("seen"))
+    return titles(spark, d).select(F.col("id").alias("page_id"), F.col("norm").alias("title"), F.col("canon").alias("url"), at.alias("seen"))
 
 
-@query(_FULL + " SELECT doc_id, cluster_id, is_duplicate, dup_count FROM cl")
+@query(_FULL + " SELECT page_id, cluster_id, is_duplicate, dup_count FROM cl")
 def dedup_full(spark, d):
-    return P.deduplicate(_articles(spark, d), "doc_id", "title", "url", "seen").select("doc_id", "cluster_id", "is_duplicate", "dup_count")
+    return P.deduplicate(_articles(spark, d), "page_id", "title", "url", "seen").select("page_id", "cluster_id", "is_duplicate", "dup_count")
 
 
-@query(_FULL + " SELECT doc_id, dup_count FROM cl WHERE NOT is_duplicate ORDER BY dup_count DESC, doc_id LIMIT 10")
+@query(_FULL + " SELECT page_id, dup_count FROM cl WHERE NOT is_duplicate ORDER BY dup_count DESC, page_id LIMIT 10")
 def top_clusters(spark, d):
-    return P.top_syndicated(P.deduplicate(_articles(spark, d), "doc_id", "title", "url", "seen"), 10, "doc_id").select("doc_id", "dup_count")
+    return P.top_syndicated(P.deduplicate(_articles(spark, d), "page_id", "title", "url", "seen"), 10, "page_id").select("page_id", "dup_count")
 
 
 @query(f"""WITH {ART}, r AS (SELECT local_date, theme_family, article_id, row_number() OVER (PARTITION BY local_date, theme_family ORDER BY md5('42|' || local_date::VARCHAR || '|' || theme_family || '|' || article_id::VARCHAR), article_id) AS r FROM art) SELECT local_date, theme_family, article_id FROM r WHERE r <= 5""")
