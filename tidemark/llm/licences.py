@@ -61,13 +61,8 @@ RULES = (
     ("Unlicense", ("UNLICENSE",)),
     ("LicenseRef-all-rights-reserved", ("ALL_RIGHTS",)),
 )
-#: Every sentence above has one of these, so texts without any have none of the sentences.
-HINTS = ("licens", "permi", "copyright", "free software", "merchantability", "public domain", "rights reserved")
-#: Ends of sentences by the SQL: marks before white space or the end, and line breaks. It sees only sentences on one line.
-ENDS = r"[.!?]+(?:[ \t\r]+|$)|[.!?]*\n+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-
 #: Blank lines, which no sentence crosses (lines without letters and digits are blank), and places where one may end or go on.
 BLANK, MAYBE = r"\n[^a-z0-9\n]*+\n[^a-z0-9]*+", r"[.!?:;]+(?=[ \t\rH]|$)|\n"
 #: A known sentence between two such places or ends, any number of them inside; H and S stand for both kinds, as no other capitals are left.
@@ -79,18 +74,14 @@ def identifiers(text: Column) -> Column:
     lowered = F.translate(text, _UPPER, _LOWER)
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(lowered, BLANK, "H"), MAYBE, "S"), "[^a-z0-9HS]+", " ")
-    found = F.transform(F.regexp_extract_all(marked, F.lit(WHOLE), 1), lambda s: F.element_at(known, F.regexp_replace(s, "[ S]+", " ")))
-    hinted = F.lit(False)
-    for hint in HINTS:  # by first words, as a hint's words may stand on two lines
-        hinted = hinted | F.contains(lowered, F.lit(hint.split(" ")[0]))
-    return F.when(hinted, found).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.regexp_extract_all(marked, F.lit(WHOLE), 1), lambda s: F.element_at(known, F.regexp_replace(s, "[ S]+", " ")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Add to doc_id the recognised sentence ids, the licences that rules match and their number.
 
     One row for each row of ``docs``: n_sentences, sentence_ids and licenses (comma
-    separated, in order of place and of rule), n_matches (matches of all rules). A null
+    separated, the first in order of place, the others of rule), n_matches. A null
     or empty text has none. All is computed within the row, so that nothing is
     shuffled, however long the text or often the row. An empty table gives an empty
     result; other columns are ignored.
@@ -115,12 +106,21 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """The same by other means, as the SQL has no look-ahead and no possessive repeats.
+
+    Marked places become tabs (H) and line feeds (S) in a text of letters, digits and
+    spaces, places that meet become one, and known sentences, in which a place may stand
+    for a space, are taken out between two places, the longest first where several start.
+    """
     known = " ".join(f"WHEN '{s}' THEN '{i}'" for s, i in SENTENCES.items())
-    ends = ENDS.replace("\\t", "\t").replace("\\r", "\r").replace("\\n", "\n")
     steps, columns = [], []
-    steps.append(f"t0 AS (SELECT doc_id, regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{ends}') AS parts FROM documents)")
-    steps.append("t1 AS (SELECT doc_id, list_transform(parts, lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))) AS parts FROM t0)")
-    steps.append(f"t2 AS (SELECT doc_id, list_filter(list_transform(parts, lambda s: CASE s {known} END), lambda i: i IS NOT NULL) AS ids FROM t1)")
+    blank, maybe = r"\n[^a-z0-9\n]*\n[^a-z0-9]*", r"[.!?:;]+([ \t\rH]|$)|\n"
+    lowered = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
+    steps.append(f"t0 AS (SELECT doc_id, regexp_replace(regexp_replace({lowered}, '{blank}', 'H', 'g'), '{maybe}', 'S\\1', 'g') AS marked FROM documents)")
+    # each place is written twice, so that the end of one sentence can be the start of the next
+    steps.append("t1 AS (SELECT doc_id, regexp_replace(regexp_replace(marked, '[^a-z0-9HS]+', ' ', 'g'), '([HS])', '\\1\\1', 'g') AS marked FROM t0)")
+    whole = "(?:^|[HS]) *(" + "|".join(s.replace(" ", "[ S]+") for s in sorted(SENTENCES, key=len, reverse=True)) + ") *(?:[HS]|$)"
+    steps.append(f"t2 AS (SELECT doc_id, list_transform(regexp_extract_all(marked, '{whole}', 1), lambda s: CASE regexp_replace(s, '[ S]+', ' ', 'g') {known} END) AS ids FROM t1)")
     steps.append("r0 AS (SELECT doc_id, ids, coalesce(array_to_string(list_transform(ids, lambda i: '<' || i || '>'), ''), '') AS rest FROM t2)")
     for k, (name, sequence) in enumerate(RULES):
         pattern = "".join(f"<{i}>" for i in sequence)
@@ -133,7 +133,9 @@ def _oracle() -> str:
     # a licence stands where its first matching rule does
     order = ", ".join(f"CASE WHEN {n} > 0{''.join(f' AND {m} = 0' for m in names[name][: names[name].index(n)])} THEN '{name}' END" for n, name in columns)
     total = " + ".join(n for n, _ in columns)
-    return f"WITH {', '.join(steps)} SELECT doc_id, len(ids)::BIGINT AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids, coalesce(array_to_string(list_filter([{order}], lambda x: x IS NOT NULL), ','), '') AS licenses, ({total})::BIGINT AS n_matches FROM r{len(RULES)}"
+    text = lambda x: f"coalesce(array_to_string({x}, ','), '')"
+    found = text(f"list_filter([{order}], lambda x: x IS NOT NULL)")
+    return f"WITH {', '.join(steps)} SELECT doc_id, len(ids)::BIGINT AS n_sentences, {text('ids')} AS sentence_ids, {found} AS licenses, ({total})::BIGINT AS n_matches FROM r{len(RULES)}"
 
 
 ORACLE_SQL = _oracle()
