@@ -9,14 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WORD, materialize, mix64
+from .common import WORD, materialize, mix64, unused
 
 #: Words of a block, slots of an output shard, weights dealt in turn to the sorted sources, uses of a word at most.
 BLOCK_WORDS, SHARD_SLOTS, WEIGHTS, MOST_USES = 64, 8192, (5, 2, 1), 3
 #: Parts into which the rows of a source are hashed, so that a source's running sum is never one task's work.
 PARTS = 1024
 SEED = 20240
+#: Sources whose table of names and targets is broadcast; a longer one is joined by a shuffle.
+FEW_SOURCES = 10_000
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, most: int = MOST_USES) -> dict[str | None, float]:
@@ -76,9 +79,11 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
 def draw(spark: SparkSession, blocks: list[int], expected: list[float], seed: int = SEED, slots: int = SHARD_SLOTS) -> DataFrame:
     """Return a row for each filled slot: shard, source_no, block, epoch.
 
-    A shard's slots are dealt to sources by the whole part of what each expects and
-    a multinomial draw of the rest, seeded by the shard. A source's slots are
-    numbered through all shards; slot j is block perm(j mod blocks) of epoch
+    A shard's slots are dealt to sources by a stratified multinomial draw, seeded by the
+    shard: each source has the whole part of what it expects, and the slots left are
+    drawn by the fractions. Expectations are those of a plain draw, but a source of a few
+    blocks stays near its target, which a plain draw misses by a tenth at a hundred
+    blocks. A source's slots are numbered through all shards; slot j is block perm(j mod blocks) of epoch
     j div blocks, with a permutation for each source and epoch. Slots beyond the
     last epoch that a source may fill stay empty.
     """
@@ -120,18 +125,22 @@ def draw(spark: SparkSession, blocks: list[int], expected: list[float], seed: in
     return spread.mapInArrow(slotted, "shard long, source_no int, block long, epoch long")
 
 
+def _row_key():
+    return F.xxhash64("text", "source")
+
+
 def plan(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """Return the sized rows of ``docs`` (doc_id, row_key, size, source_no, source_size, target, start) and the drawn slots.
 
     A row's size counts its words; a null text has none. Rows of a source are ordered
     by hashed id, id and hashed text; equal rows are interchangeable. A null source
-    is a source of its own, last in order.
+    is a source of its own, last in order. One row a source comes to the driver: a
+    mixture names its sources.
     """
     spark = docs.sparkSession
     rows = materialize(
-        docs.select("doc_id", "source", F.xxhash64("text").alias("row_key"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size")), "sizes"
+        docs.select("doc_id", "source", _row_key().alias("row_key"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size")), "sizes"
     )
-    # one row a source: a mixture names its sources, so their number does not follow the input
     sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     target = targets(sizes, weights)
     names = list(target) if sizes else []
@@ -139,8 +148,9 @@ def plan(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS) -> tu
     blocks = [-(-sizes[s] // block_words) for s in names]
     expected = [target[s] / sizes[s] * b if sizes[s] else 0.0 for s, b in zip(names, blocks, strict=True)]
     table = spark.createDataFrame([(s, i, sizes[s], target[s]) for i, s in enumerate(names)], "name string, source_no int, source_size long, target double")
-    named = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name")))  # as many rows as sources
-    named = named.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)))
+    table = F.broadcast(table) if len(names) <= FEW_SOURCES else table.hint("merge")
+    named = rows.join(table, F.col("source").eqNullSafe(F.col("name")))
+    named = named.withColumn("part", F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(PARTS)))
     sized = running_start(named, "source_no", "part", ["doc_id", "row_key", "size"], "size")
     return sized.drop("name", "part"), draw(spark, blocks, expected)
 
@@ -170,42 +180,55 @@ def mix_counts(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS)
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
+_word = re.compile(WORD)
+
+
+def _cut(text: str, spans: list[dict]) -> str:
+    """The words of sorted spans, with the white space between neighbours."""
+    at = [m.span() for m in _word.finditer(text)]
+    if len(at) == sum(s["last"] - s["first"] for s in spans):
+        return text
+    parts, first, last = [], None, None
+    for s in spans:
+        if first is not None and s["first"] != last:
+            parts.append(text[at[first][0] : at[last - 1][1]])
+            first = None
+        first, last = s["first"] if first is None else first, s["last"]
+    return "\n".join([*parts, text[at[first][0] : at[last - 1][1]]])
+
+
+@F.arrow_udf(T.StringType())
+def _cut_texts(text: pa.Array, spans: pa.Array) -> pa.Array:
+    return pa.array([_cut(t, s) for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+
+
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Return the mix as rows with the columns of ``docs``: a row for each document and epoch it is drawn in.
 
     The text of a row joins the drawn blocks' words, with the white space between
     neighbours kept; a document drawn whole keeps its text. ``n_chars``, if there,
-    follows the text. Rows of ``docs`` must differ in (doc_id, text); documents that
-    no block draws, empty ones among them, go.
+    follows the text. Rows that share an id are told apart by text and source, repeated
+    rows by a number, so each takes the blocks of its own words; documents that no block
+    draws, null and empty ones among them, go. Texts of any length are cut. Columns of
+    any names are kept; an empty table stays empty.
     """
     sized, slots = plan(docs, weights, block_words)
-    spans = _spans(sized, block_words).join(slots.select("source_no", "block", "epoch").hint("merge"), ["source_no", "block"])
-    own = spans.groupBy("doc_id", "row_key", "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_spans"))
-    kept = docs.withColumn("_key", F.xxhash64("text"))
-    joined = kept.join(own.withColumnRenamed("doc_id", "_id").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("row_key"))).select(*docs.columns, "_spans")
-    word, columns = re.compile(WORD), docs.columns
-
-    def cut(text: str, spans: list[dict]) -> str:
-        at = [m.span() for m in word.finditer(text)]
-        if len(at) == sum(s["last"] - s["first"] for s in spans):
-            return text
-        parts, first, last = [], None, None
-        for s in spans:
-            if first is not None and s["first"] != last:
-                parts.append(text[at[first][0] : at[last - 1][1]])
-                first = None
-            first, last = s["first"] if first is None else first, s["last"]
-        return "\n".join([*parts, text[at[first][0] : at[last - 1][1]]])
-
-    def texts(batches):
-        for batch in batches:
-            new = [cut(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
-            own = {c: batch.column(c) for c in columns} | {"text": pa.array(new, pa.string())}
-            if "n_chars" in own:
-                own["n_chars"] = pa.array([len(t) for t in new]).cast(own["n_chars"].type)
-            yield pa.record_batch(own)
-
-    return joined.mapInArrow(texts, docs.schema)
+    sized = materialize(sized, "sized")
+    key, mark, copy, spans = unused(docs.columns, "id", "key", "copy", "spans")
+    same = [F.col("doc_id").alias(key), F.col("row_key").alias(mark)]
+    repeated = not sized.where("size > 0").groupBy("doc_id", "row_key").count().where("count > 1").isEmpty()
+    numbered = sized.withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "row_key").orderBy("source_no", "start")) if repeated else F.lit(1))
+    drawn = _spans(numbered, block_words).join(slots.select("source_no", "block", "epoch").hint("merge"), ["source_no", "block"])
+    own = drawn.groupBy(*same, F.col("copy").alias(copy), "epoch").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias(spans)).drop("epoch")
+    by = W.partitionBy("doc_id", _row_key()).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    kept = docs.withColumns({mark: _row_key(), copy: F.row_number().over(by) if repeated else F.lit(1)}).alias("kept")
+    found = own.alias("own").hint("merge")
+    equal = F.col("kept.doc_id").eqNullSafe(F.col(f"own.{key}")) & (F.col(f"kept.{mark}") == F.col(f"own.{mark}")) & (F.col(f"kept.{copy}") == F.col(f"own.{copy}"))
+    joined = kept.join(found, equal).select(*[F.col(f"kept.`{c}`") for c in docs.columns], F.col(f"own.{spans}"))
+    out = joined.withColumn("text", _cut_texts("text", F.col(spans)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
