@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, documents, flat, materialize, words_of
-from .windows import WINDOW_ROWS, covered, first_of, length_of, recurring, run_rows, window_rows
+from .windows import WINDOW_ROWS, recurring, run_rows, window_rows
 
 #: Words of a window and of the k-gram that files it.
 WINDOW, GRAM = 50, 25
-#: Words of the patterns of one automaton, and of the documents held with it; a longer single document stands alone.
-PATTERN_WORDS, HELD_WORDS = 200_000, 400_000
+#: Words of the patterns of one automaton, and of those that a block of documents may need.
+PATTERN_WORDS, BLOCK_WORDS = 200_000, 1_000_000
 _WORDS = re.compile(WORD)
 
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -29,12 +29,14 @@ def _symbols(batch):
         yield values[a:b]
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """Confirm recurring passages: (doc_id, key, spans) with spans of structs first, last, before.
+def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Confirm recurring passages of ``docs``; rows with a null id take no part.
 
-    The words [first, last) of the row are made of windows that also start in documents
-    with ids of at most ``before``, which is smaller than the row's. ``key`` is the
-    hash of id and text. Rows with a null id take no part.
+    Returns the rows (doc_id, key, anchor, kind) whose text may hold a passage, ``key``
+    being the hash of id and text, and the passages (anchor, kind, phrases): of each
+    class of runs its words, taken from one text that has them, with ``before``, the
+    smallest id that has the class; and stretches of it whose windows start in even
+    smaller ids, with theirs. Where texts hold a passage is not handed on.
     """
     hashed = docs.where("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.transform(words_of(), lambda w: F.xxhash64(w)).alias("words")
@@ -56,12 +58,32 @@ def passages(docs: DataFrame) -> DataFrame:
         looked.join(least, ["anchor", "window"]).where("before < lowest").groupBy("anchor", "kind")
         .agg(F.collect_set(F.struct("offset", "before")).alias("parts"))
     )
-    settled = kinds.join(partly, ["anchor", "kind"], "left").where("lowest < highest or parts is not null").select("anchor", "kind", "lowest", "parts")
-    joined = live.join(settled, ["anchor", "kind"])
-    whole = F.array(F.struct(first_of().alias("first"), (first_of() + length_of() + WINDOW).alias("last"), F.col("lowest").alias("before")))
-    pieces = F.transform("parts", lambda p: F.struct((first_of() + p["offset"]).alias("first"), (first_of() + p["offset"] + WINDOW).alias("last"), p["before"].alias("before")))
-    spans = joined.select("doc_id", "key", F.inline(F.when(F.col("doc_id") > F.col("lowest"), whole).otherwise(F.coalesce(pieces, F.array().cast("array<struct<first:bigint,last:bigint,before:bigint>>")))))
-    return materialize(spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last", "before")).alias("spans")), "passages")
+    settled = materialize(kinds.join(partly, ["anchor", "kind"], "left").where("lowest < highest or parts is not null").select("anchor", "kind", "lowest", "highest", "sample", "parts"), "settled")
+    asked = settled.select("sample.*", F.struct("anchor", "kind", F.col("sample.pack").alias("pack"), "lowest", (F.col("lowest") < F.col("highest")).alias("again"), "parts").alias("own"))
+    asked = asked.groupBy("doc_id", "key").agg(F.collect_list("own").alias("wanted"))
+    whole = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    texts = whole.join(asked.hint("shuffle_hash"), ["doc_id", "key"]).select("text", "wanted").mapInArrow(_phrases_of, _PHRASES).dropDuplicates(["anchor", "kind"])
+    may = live.join(settled.select("anchor", "kind", "lowest", F.col("parts").isNotNull().alias("partly")), ["anchor", "kind"]).where("doc_id > lowest or partly")
+    return may.select("doc_id", "key", "anchor", "kind"), texts
+
+
+_PHRASES = "anchor long, kind long, phrases array<struct<words:string,before:long>>"
+
+
+def _phrases_of(batches):
+    kind = pa.list_(pa.struct([("words", pa.string()), ("before", pa.int64())]))
+    for batch in batches:
+        anchors, kinds, phrases = [], [], []
+        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+            words = _WORDS.findall(text)
+            for w in wanted:
+                first, more = w["pack"] >> 16, w["pack"] >> 8 & 255
+                own = [(0, more + WINDOW, w["lowest"])] if w["again"] else []
+                own += merged([{"first": p["offset"], "last": p["offset"] + WINDOW, "before": p["before"]} for p in w["parts"] or ()])
+                anchors.append(w["anchor"])
+                kinds.append(w["kind"])
+                phrases.append([{"words": " ".join(words[first + a : first + b]), "before": c} for a, b, c in own])
+        yield pa.record_batch([pa.array(anchors, pa.int64()), pa.array(kinds, pa.int64()), pa.array(phrases, kind)], ["anchor", "kind", "phrases"])
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int, int]]:
@@ -104,53 +126,82 @@ class Automaton:
         return np.cumsum(marks[:-1]) > 0
 
 
+class Block:
+    """The automata of a block of documents, and the numbers of their words."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.automata: list[Automaton] = []
+        self.size = PATTERN_WORDS
+        self.ready = False
+
+    def add(self, phrase: str, before: int) -> None:
+        words = phrase.split(" ")
+        if self.size + len(words) > PATTERN_WORDS:
+            self.automata.append(Automaton())
+            self.size = 0
+        self.automata[-1].add(tuple([self.number.setdefault(w, len(self.number) + 1) for w in words]), before)
+        self.size += len(words)
+
+    def kept(self, doc_id: int | None, text: str) -> tuple:
+        """Stream a text through all automata; return its row of KEPT."""
+        if not self.ready:
+            for own in self.automata:
+                own.compile()
+            self.ready = True
+        words = _WORDS.findall(text)
+        n = 0
+        if self.automata and doc_id is not None:
+            numbers = tuple([self.number.get(w, 0) for w in words])
+            gone = np.zeros(len(words), bool)
+            for own in self.automata:
+                gone |= own.covered(numbers, doc_id)
+            if n := int(gone.sum()):
+                return doc_id, len(words), n, hashlib.sha256(" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).encode()).hexdigest()
+        return doc_id, len(words), n, hashlib.sha256(" ".join(words).encode()).hexdigest()
+
+
 def _streamed(batches):
-    held: list[tuple] = []
-    patterns = words = 0
-    for batch in batches:
-        for doc_id, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
-            own = _WORDS.findall(text)
-            own_spans = merged(spans or [])
-            size = sum(b - a for a, b, _ in own_spans)
-            if held and (patterns + size > PATTERN_WORDS or words + len(own) > HELD_WORDS):
-                yield _shard(held)
-                held, patterns, words = [], 0, 0
-            held.append((doc_id, own, own_spans))
-            patterns, words = patterns + size, words + len(own)
-    if held:
-        yield _shard(held)
-
-
-def _shard(held: list[tuple]) -> pa.RecordBatch:
-    """Compile the passages of some documents into one automaton and stream those documents through it."""
-    number: dict[str, int] = {}
-    coded = [tuple([number.setdefault(w, len(number) + 1) for w in words]) for _, words, _ in held]
-    automaton = Automaton()
-    for (_, _, spans), words in zip(held, coded, strict=True):
-        for first, last, before in spans:
-            automaton.add(words[first:last], before)
-    automaton.compile()
-    rows = []
-    for (doc_id, words, _), numbers in zip(held, coded, strict=True):
-        gone = automaton.covered(numbers, doc_id) if doc_id is not None else np.zeros(len(words), bool)
-        kept = " ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if gone.any() else " ".join(words)
-        rows.append((doc_id, len(words), int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest()))
+    """Over rows sorted by block, phrases first: compile the phrases of a block and stream its documents."""
+    at, block = None, Block()
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-    return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in KEPT.split(", ")])
+    for batch in batches:
+        rows = []
+        for number, doc_id, text, phrases in zip(*(batch.column(c).to_pylist() for c in ("block", "doc_id", "text", "phrases")), strict=True):
+            if number != at:
+                at, block = number, Block()
+            if phrases is None:
+                rows.append(block.kept(doc_id, text))
+            else:
+                for p in phrases:
+                    block.add(p["words"], p["before"])
+        if rows:
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in KEPT.split(", ")])
 
 
 def dedup_phrases(docs: DataFrame) -> DataFrame:
     """Remove from each text of ``docs`` (doc_id, text) the words of windows that also start in a document with a smaller id (KEPT).
 
+    Documents are dealt to blocks. Each passage goes to the blocks of which a document
+    files a run under it, the block's passages are compiled to automata, and all of its
+    documents are streamed through them; places come from the hits, word by word.
+
     Null texts have no words; rows with a null id keep all words and take none from
     others; rows that share an id take nothing from each other. Texts of fewer than
-    WINDOW words stay whole. Repeated rows are kept. An empty table gives an empty
-    result; other columns are ignored.
+    WINDOW words stay whole, and texts of any length are streamed whole. Repeated rows
+    are kept. An empty table gives an empty result; other columns are ignored.
     """
-    found = passages(docs).withColumnRenamed("doc_id", "_id").withColumnRenamed("key", "_key").hint("shuffle_hash")
+    may, passage = passages(docs)
+    # a run's class has some 65 words, so this bounds the patterns of a block
+    blocks = max(1, -(-may.count() * 65 // BLOCK_WORDS))
+    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block")
+    none = F.lit(None)
+    needed = may.select(block, "anchor", "kind").distinct().join(passage, ["anchor", "kind"])
+    patterns = needed.select("block", none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "phrases")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("key"))
-    joined = whole.join(found, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(_streamed, KEPT)
+    streams = whole.select(block, "doc_id", "text", none.cast(passage.schema["phrases"].dataType).alias("phrases"))
+    both = patterns.union(streams).repartition("block").sortWithinPartitions("block", F.col("phrases").isNull())
+    return both.mapInArrow(_streamed, KEPT)
 
 
 def op8_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
