@@ -63,19 +63,24 @@ class Code:
         order = used[np.argsort(lengths[used], kind="stable")]
         self.only = int(order[0]) if len(order) == 1 else None
         self.symbols, own = order, lengths[order]
-        if self.only is None and sum(1 << (15 - int(n)) for n in own) != 1 << 15:
+        if self.only is None and int((1 << (15 - own)).sum()) != 1 << 15:
             raise ValueError("a prefix code that is not complete")
         self.uniform = 0 if self.only is not None else int(own[0]) if own[0] == own[-1] else None
-        self.table: dict[tuple[int, int], int] = {}
-        code, last = 0, 0
-        for symbol, n in zip(order.tolist(), own.tolist(), strict=True):
+        self.lengths, self.table = own, None
+
+    def _codes(self) -> dict[tuple[int, int], int]:
+        table, code, last = {}, 0, 0
+        for symbol, n in zip(self.symbols.tolist(), self.lengths.tolist(), strict=True):
             code <<= n - last
-            self.table[n, code] = symbol
+            table[n, code] = symbol
             code, last = code + 1, n
+        return table
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
+        if self.table is None:
+            self.table = self._codes()
         code = n = 0
         while True:
             code, n = code << 1 | bits.read(1), n + 1
@@ -97,6 +102,8 @@ def _read_code(bits: Bits, symbols: int) -> Code:
     code, limit = Code(own), symbols
     if bits.read(1):
         limit = 2 + bits.read(2 + 2 * bits.read(3))
+    if code.uniform and limit == symbols and code.symbols.max() < 16:  # no runs: all lengths at once
+        return Code(code.symbols[_ranks(bits.array(symbols, code.uniform))])
     at, last = 0, 8
     while at < symbols and limit:
         limit -= 1
@@ -131,8 +138,8 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     cached = 1 << cache_bits if cache_bits else 0
     codes = [[_read_code(bits, n) for n in (280 + cached, 256, 256, 256, 40)] for _ in range(groups)]
     n = width * height
-    if groups == 1 and all(c.uniform is not None for c in codes[0][:4]) and codes[0][0].symbols.max() < 256:
-        return _literals(bits, codes[0][:4], n)
+    if groups == 1 and not cached and all(c.uniform is not None for c in codes[0]):
+        return _stretches(bits, codes[0], n, width)
     out = np.zeros(n, np.uint32)
     cache = [0] * cached
     at = kept = 0
@@ -145,8 +152,7 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             at += 1
         elif green < 280:
             length = _extra(bits, green - 256)
-            code = _extra(bits, own[4].read(bits))
-            back = code - 120 if code > 120 else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
+            back = _back(_extra(bits, own[4].read(bits)), width)
             if back > at or at + length > n:
                 raise ValueError("a back-reference that leaves the picture")
             for i in range(at, at + length):
@@ -161,20 +167,54 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return out
 
 
-def _literals(bits: Bits, codes: list[Code], n: int) -> np.ndarray:
-    """Pixels of literals whose codes have one length each: fields of bits, read all at once."""
-    widths = [c.uniform for c in codes]
-    fields = bits.array(n, sum(widths))
-    out, at = np.zeros(n, np.uint32), 0
-    for code, width, shift in zip(codes, widths, (8, 16, 0, 24), strict=True):
-        rank = np.zeros(n, np.uint8 if width <= 8 else np.uint16)
-        for bit in range(width):
-            rank = rank << 1 | fields[:, at + bit]
-        out |= code.symbols.astype(np.uint32)[rank] << np.uint32(shift)
-        at += width
+def _back(code: int, width: int) -> int:
+    """Pixels back that a distance code means."""
+    return code - 120 if code > 120 else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
+
+
+def _stretches(bits: Bits, codes: list[Code], n: int, width: int) -> np.ndarray:
+    """Pixels of codes that have one length each: stretches of literals are read as fields of bits, all at once, up to the next copy."""
+    lengths = [c.uniform for c in codes[:4]]
+    total, green = sum(lengths), codes[0].symbols
+    out, at, step = np.zeros(n, np.uint32), 0, 512
+    copies = green.max() >= 256
+    while at < n:
+        m = min(n - at, step) if copies else n - at
+        there = min(m, (8 * len(bits.data) - bits.at) // total) if total else m
+        if there < m and not copies:
+            raise ValueError("the picture's bits end early")
+        start = bits.at
+        fields = bits.array(there, total)
+        symbol = green[_ranks(fields[:, : lengths[0]])]
+        k = int(np.argmax(symbol >= 256)) if copies and (symbol >= 256).any() else len(symbol)
+        pixels, place = symbol[:k].astype(np.uint32) << np.uint32(8), lengths[0]
+        for code, length, shift in zip(codes[1:4], lengths[1:], (16, 0, 24), strict=True):
+            pixels |= code.symbols.astype(np.uint32)[_ranks(fields[:k, place : place + length])] << np.uint32(shift)
+            place += length
+        out[at : at + k] = pixels
+        at += k
+        bits.at = start + k * total
+        if k == m:
+            step *= 2
+        else:
+            step = 512
+            length = _extra(bits, codes[0].read(bits) - 256)
+            back = _back(_extra(bits, codes[4].read(bits)), width)
+            if back > at or at + length > n:
+                raise ValueError("a back-reference that leaves the picture")
+            out[at : at + length] = out[at - back : at - back + length] if back >= length else np.resize(out[at - back : at], length)
+            at += length
     return out
 
 
+def _ranks(fields: np.ndarray) -> np.ndarray:
+    """Numbers of rows of bits, the first bit on top."""
+    rank = np.zeros(len(fields), np.uint8 if fields.shape[1] <= 8 else np.uint16)
+    for bit in range(fields.shape[1]):
+        rank = rank << 1 | fields[:, bit]
+    return rank
+
+
 def _planes(pixels: np.ndarray) -> np.ndarray:
     """Bytes of pixels as an array with blue, green, red, alpha in its last axis."""
     return np.ascontiguousarray(pixels.astype("<u4")).view(np.uint8).reshape(*pixels.shape, 4)
@@ -312,30 +352,150 @@ def riff(picture: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 12 + len(picture) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(picture)) + picture + pad
 
 
-def encode(pixels: np.ndarray) -> bytes:
-    """A lossless WebP file of literals, each channel's used values under one prefix code of equal lengths."""
-    height, width = pixels.shape
-    w = BitWriter()
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
-        w.put(value, n)
-    planes, fields = _planes(pixels).reshape(-1, 4), []
-    for channel, symbols in ((1, 280), (2, 256), (0, 256), (3, 256)):
-        used = np.bincount(planes[:, channel], minlength=256) > 0
-        length = max(1, (int(used.sum()) - 1).bit_length())
-        spare = np.flatnonzero(~used)[: (1 << length) - int(used.sum())]
-        used[spare] = True
+#: Pixels of the shortest copy, and of a copy at most.
+LEAST_COPY, MOST_COPY = 3, 4096
+
+
+def _prefixed(value: int) -> tuple[int, int, int]:
+    """Symbol, number of extra bits and extra bits of a length or distance."""
+    if value <= 4:
+        return value - 1, 0, 0
+    n = (value - 1).bit_length() - 2
+    return 2 * (n + 1) + (value - 1 >> n & 1), n, value - 1 & (1 << n) - 1
+
+
+def _copies(flat: np.ndarray) -> list[tuple[int, int, int]]:
+    """Copies (place, length, pixels back), disjoint and in order: each place looks at the last one where the same pixels begin."""
+    n = len(flat) - LEAST_COPY + 1
+    if n < 2:
+        return []
+    key = flat[:n].astype(np.uint64)
+    for k in range(1, LEAST_COPY):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + flat[k : k + n]
+    order = np.argsort(key, kind="stable")
+    again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    place = order[again + 1]
+    by = np.argsort(place)
+    place, before = place[by], order[again][by]
+    out, at = [], 0
+    for c, b in zip(place.tolist(), before.tolist(), strict=True):
+        if c < at:
+            continue
+        length, size = 0, 64
+        while c + length < len(flat) and length < MOST_COPY:
+            stop = min(c + length + size, len(flat), c + MOST_COPY)
+            differ = np.flatnonzero(flat[c + length : stop] != flat[b + length : b + stop - c])
+            length += int(differ[0]) if len(differ) else stop - c - length
+            if len(differ):
+                break
+            size *= 4
+        if length >= LEAST_COPY:
+            out.append((c, length, c - b))
+            at = c + length
+    return out
+
+
+class Uniform:
+    """A prefix code that gives the used symbols, and unused ones up to a power of two, equal lengths."""
+
+    def __init__(self, used: np.ndarray):
+        n = int(used.sum())
+        self.length = max(1, (n - 1).bit_length())
+        spare = np.flatnonzero(~used)[: (1 << self.length) - n]
+        self.used = used.copy()
+        self.used[spare] = True
+        self.rank = np.cumsum(self.used) - 1
+
+    def write(self, w: BitWriter) -> None:
+        """Lengths of the symbols: a 0 bit for none, a 1 bit for ``length``."""
         w.put(0, 1)
-        order = [CODE_LENGTH_ORDER.index(0), CODE_LENGTH_ORDER.index(length)]
+        order = [CODE_LENGTH_ORDER.index(0), CODE_LENGTH_ORDER.index(self.length)]
         w.put(max(order) - 3, 4)
         for i in range(max(order) + 1):
             w.put(int(i in order), 3)
         w.put(0, 1)
-        w.bits(np.pad(used, (0, symbols - 256)))  # lengths: a 0 bit for none, a 1 bit for ``length``
-        rank = (np.cumsum(used) - 1)[planes[:, channel]]
-        fields.append(np.unpackbits(rank.astype(np.uint8)[:, None], axis=1)[:, 8 - length :])
-    for value, n in ((1, 1), (0, 1), (0, 1), (0, 1)):  # distances: one symbol, never read
+        w.bits(self.used)
+
+    def fields(self, symbols: np.ndarray) -> np.ndarray:
+        rank = self.rank[symbols].astype(">u2")
+        return np.unpackbits(rank.view(np.uint8).reshape(-1, 2), axis=1)[:, 16 - self.length :]
+
+
+def _write_pixels(w: BitWriter, pixels: np.ndarray, main: bool) -> None:
+    """Entropy-coded pixels: literals, and copies of pixels that repeat earlier ones."""
+    flat, width = pixels.ravel(), pixels.shape[1]
+    w.put(0, 1)  # no colour cache
+    if main:
+        w.put(0, 1)  # one group of codes
+    copies = []
+    for c, length, back in _copies(flat):
+        copies.append((c, length, _prefixed(length), _prefixed({1: 2, width: 1}.get(back, back + 120))))
+    literal = np.ones(len(flat), bool)
+    for c, length, *_ in copies:
+        literal[c : c + length] = False
+    planes = _planes(flat[literal]).reshape(-1, 4)
+    codes = []
+    for channel, symbols in ((1, 280), (2, 256), (0, 256), (3, 256)):
+        used = np.bincount(planes[:, channel], minlength=symbols) > 0
+        if channel == 1:
+            used[[256 + length[0] for _, _, length, _ in copies]] = True
+        codes.append(Uniform(used))
+        codes[-1].write(w)
+    far = np.zeros(40, bool)
+    far[[back[0] for *_, back in copies]] = True
+    if copies:
+        distance = Uniform(far)
+        distance.write(w)
+    else:
+        for value, n in ((1, 1), (0, 1), (0, 1), (0, 1)):  # distances: one symbol, never read
+            w.put(value, n)
+    rows = np.concatenate([c.fields(planes[:, k]) for c, k in zip(codes, (1, 2, 0, 3), strict=True)], axis=1)
+    done = passed = 0
+    for c, length, size, back in copies:
+        literals = c - passed
+        w.bits(rows[done : literals])
+        done, passed = literals, passed + length
+        for code, base, (symbol, n, extra) in ((codes[0], 256, size), (distance, 0, back)):
+            w.bits(code.fields(np.array([base + symbol])))
+            w.put(extra, n)
+    w.bits(rows[done:])
+
+
+def _width(values: np.ndarray) -> int:
+    return max(1, (int((np.bincount(values, minlength=256) > 0).sum()) - 1).bit_length())
+
+
+def encode(pixels: np.ndarray) -> bytes:
+    """A lossless WebP file: by cost a palette, green subtracted from red and blue, or neither, then literals and copies under codes of equal lengths."""
+    height, width = pixels.shape
+    w = BitWriter()
+    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
         w.put(value, n)
-    w.bits(np.concatenate(fields, axis=1))
+    planes = _planes(pixels).reshape(-1, 4)
+    plain = sum(_width(planes[:, k]) for k in range(4))
+    less = planes[:, (0, 2)] - planes[:, 1:2]
+    turned = _width(planes[:, 1]) + _width(planes[:, 3]) + _width(less[:, 0]) + _width(less[:, 1])
+    kinds = np.unique(pixels)
+    packed = 3 if len(kinds) <= 2 else 2 if len(kinds) <= 4 else 1 if len(kinds) <= 16 else 0
+    by_index = 3 + 32 * len(kinds) + 1100 + pixels.size * (max(1, (len(kinds) - 1).bit_length()) + 3)  # a code has a bit at least
+    if len(kinds) <= 256 and by_index < pixels.size * min(plain, turned):
+        w.put(1, 1)
+        w.put(3, 2)
+        w.put(len(kinds) - 1, 8)
+        steps = _joined(np.diff(_planes(kinds), axis=0, prepend=np.zeros((1, 4), np.uint8)))
+        _write_pixels(w, steps[None], False)
+        index, across = np.searchsorted(kinds, pixels).astype(np.uint32), -(-width >> packed) if packed else width
+        index = np.pad(index, ((0, 0), (0, (across << packed) - width))).reshape(height, across, 1 << packed)
+        each = np.arange(1 << packed, dtype=np.uint32) * np.uint32(8 >> packed)
+        pixels = np.uint32(0xFF000000) | (index << each).sum(2, dtype=np.uint32) << np.uint32(8)
+    elif turned < plain:
+        w.put(1, 1)
+        w.put(2, 2)
+        rest = planes.copy()
+        rest[:, 0], rest[:, 2] = less[:, 0], less[:, 1]
+        pixels = _joined(rest).reshape(height, width)
+    w.put(0, 1)
+    _write_pixels(w, pixels, True)
     return riff(w.bytes())
 
 
