@@ -100,11 +100,20 @@ def test_rolling_score_leaves_the_row_out(spark):
 
 def test_decay_is_causal_and_skips_nulls(spark):
     v = [1.0, None, 3.0, 2.0]
-    got = [r[0] for r in panel(spark, v).select(N.ewm_mean(F.col("price"), W.orderBy("date"), 2), "date").orderBy("date").collect()]
+    got = [r[0] for r in N.ewm_mean(panel(spark, v), F.col("price"), "m", "date", 2).orderBy("date").select("m").collect()]
     w = [2 ** (i / 2) for i in range(1, 4)]
     assert got[2] == pytest.approx((w[0] * 1 + w[1] * 3) / (w[0] + w[1])) and got[1] == 1.0 and got[3] == pytest.approx((w[0] + 3 * w[1] + 2 * w[2]) / sum(w))
 
 
+def test_decay_of_a_long_series(spark):
+    import pandas as pd
+
+    x = [None if i % 7 == 3 else float(i % 11) for i in range(3000)]
+    got = [r[0] for r in N.ewm_mean(frame(spark, list(enumerate(x)), "i long, x double"), F.col("x"), "m", "i", 1.5).orderBy("i").select("m").collect()]
+    want = pd.Series(x).ewm(halflife=1.5, ignore_na=True).mean()
+    assert max(abs(a - b) for a, b in zip(got, want, strict=True)) < 1e-9
+
+
 def test_islands_close_at_the_end(spark):
     p = panel(spark, [0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0]).withColumn("flag", F.col("price") == 0)
     assert sorted(r["length"] for r in N.islands(p, "flag").collect()) == [3, 4]
@@ -185,7 +194,13 @@ def test_zip_scan(spark, tmp_path):
 
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("x.csv", "a\tb\nc\td")
-    assert sorted(r["value"] for r in S.read_zipped(spark, f"{tmp_path}/*.zip").collect()) == ["a\tb", "c\td"]
+    (tmp_path / "b.zip").write_bytes(b"PK no archive")
+    got = S.read_zipped(spark, f"{tmp_path}/*.zip")
+    assert sorted(r["value"] for r in got.where("ok").collect()) == ["a\tb", "c\td"]
+    name = F.element_at(F.split("path", "/"), -1).alias("path")
+    wanted = frame(spark, [("a.zip",), ("b.zip",), ("c.zip",)], "path string")
+    states = lambda text: {r["path"]: r["state"] for r in S.slot_states(wanted, got.select(name, "ok", "value"), F.contains("value", F.lit(text))).collect()}
+    assert states("c\t") == {"a.zip": "hit", "b.zip": "fail", "c.zip": "missing"} and states("z")["a.zip"] == "miss"
 
 
 def test_sheet_header_by_content(spark):

@@ -54,15 +54,20 @@ def block_draws(spark, n: int, block: int, reps: int, seed: int) -> DataFrame:
     return drawn.select("rep", "k", (hashed % max(1, n - block + 1)).cast("int").alias("start"))
 
 
-def bootstrap_gain(df: DataFrame, true: str, a: str, b: str, block: int = 10, reps: int = 1000, seed: int = 42) -> DataFrame:
-    """(rep, gain): macro F1 of b minus that of a over the same blocks of rows; df has a row number ``i`` from 0.
+def resampled(df: DataFrame, block: int, reps: int, seed: int) -> DataFrame:
+    """Rows of ``reps`` resamples by blocks, with ``rep``; df has a row number ``i`` from 0.
 
     A resample has as many rows as the table: the last block is cut.
     """
     n = df.count()
     drawn = block_draws(df.sparkSession, n, block, reps, seed)
     rows = drawn.select("rep", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o"), "k", "start").where(F.col("k") * block + F.col("o") < n)
-    picked = rows.select("rep", (F.col("start") + F.col("o")).alias("i")).join(df.select(F.col("i").cast("int").alias("i"), true, a, b), "i")
+    return rows.select("rep", (F.col("start") + F.col("o")).alias("i")).join(df.withColumn("i", F.col("i").cast("int")), "i")
+
+
+def bootstrap_gain(df: DataFrame, true: str, a: str, b: str, block: int = 10, reps: int = 1000, seed: int = 42) -> DataFrame:
+    """(rep, gain): macro F1 of b minus that of a over the same resampled blocks of rows."""
+    picked = resampled(df.select("i", true, a, b), block, reps, seed)
     return picked.groupBy("rep").agg((macro_f1(F.col(true), F.col(b)) - macro_f1(F.col(true), F.col(a))).alias("gain"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .dedup import cut
 from .evaluation import CLASSES
 
 
@@ -151,15 +152,26 @@ def topics(train: DataFrame, rows: DataFrame, vector: str, k: int, seed: int = 4
     return KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="topic").fit(own(train)).transform(own(rows)).drop("_v")
 
 
+def gram(rows: DataFrame, vector: str, n: int) -> np.ndarray:
+    """The n x n sums of products of vector elements; a partition adds its rows up itself, so n rows of n numbers a partition are shuffled."""
+
+    def sums(frames):
+        total = np.zeros((n, n))
+        for frame in frames:
+            if len(frame):
+                x = np.stack(frame[vector].to_numpy()).astype(float)
+                total += x.T @ x
+        yield pd.DataFrame({"i": np.arange(n), "g": list(total)})
+
+    parts = rows.select(vector).mapInPandas(sums, "i int, g array<double>")
+    out = parts.groupBy("i").agg(*[F.sum(F.col("g")[j]).alias(f"g{j}") for j in range(n)]).orderBy("i").collect()  # n rows
+    return np.array([r[1:] for r in out], float)
+
+
 def svd(rows: DataFrame, vector: str, k: int, key: str) -> DataFrame:
     """(key, scores): uncentred truncated SVD, from the Gram matrix of the columns, whose size is the vectors' width."""
     n = rows.select(F.size(vector).alias("n")).where("n > 0").first()["n"]
-    e = rows.select(key, F.posexplode(vector).alias("i", "x"))
-    gram = e.join(e.select(key, F.col("i").alias("j"), F.col("x").alias("y")), key).groupBy("i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("g")).collect()
-    g = np.zeros((n, n))
-    for r in gram:
-        g[r["i"], r["j"]] = r["g"]
-    _, v = np.linalg.eigh(g)
+    _, v = np.linalg.eigh(gram(rows, vector, n))
     top = v[:, ::-1][:, :k]
     top = top * np.where(top[np.abs(top).argmax(0), np.arange(k)] < 0, -1, 1)
     scores = F.array(*[sum((F.col(vector)[i].cast("double") * float(top[i, c]) for i in range(1, n)), F.col(vector)[0].cast("double") * float(top[0, c])) for c in range(k)])
@@ -195,6 +207,38 @@ def ppmi(df: DataFrame, key: str, terms: Column, min_count: int = 5, alpha: floa
     return joined.select("w", "c", pmi.alias("pmi")).where("pmi > 0")
 
 
+def word_vectors(pmi: DataFrame, width: int, iterations: int = 20) -> DataFrame:
+    """(w, vector): unit vectors U * sqrt(S) of the symmetric part of a sparse matrix (w, c, pmi), by subspace iteration.
+
+    The matrix stays a table: a round multiplies it with ``width`` columns, a row a word,
+    and only width x width sums come to the driver, to keep the columns orthogonal.
+    """
+    both = pmi.select("w", "c", "pmi").union(pmi.select(F.col("c").alias("w"), F.col("w").alias("c"), "pmi")).groupBy("w", "c").agg((F.sum("pmi") / 2).alias("pmi")).persist()
+    unit = lambda word, k: F.pmod(F.xxhash64(word, F.lit(k)), F.lit(1_000_003)) / 1_000_003.0 - 0.5
+    x = both.select("w").distinct().select("w", F.array(*[unit(F.col("w"), k) for k in range(width)]).alias("x"))
+    values = np.ones(width)
+    for _ in range(iterations):
+        y = both.join(x.withColumnRenamed("w", "c"), "c").groupBy("w").agg(*[F.sum(F.col("pmi") * F.col("x")[k]).alias(f"y{k}") for k in range(width)]).persist()
+        gram = y.agg(*[F.sum(F.col(f"y{i}") * F.col(f"y{j}")).alias(f"g{i}_{j}") for i in range(width) for j in range(i, width)]).first()
+        g = np.array([[gram[f"g{min(i, j)}_{max(i, j)}"] for j in range(width)] for i in range(width)])
+        s, u = np.linalg.eigh(g)
+        s, u = np.maximum(s[::-1], 1e-12), u[:, ::-1]
+        values, turn = np.sqrt(s), u / np.sqrt(s)
+        turn = turn * np.where(turn[np.abs(turn).argmax(0), np.arange(width)] < 0, -1, 1)
+        columns = [sum((F.col(f"y{i}") * float(turn[i, k]) for i in range(1, width)), F.col("y0") * float(turn[0, k])) for k in range(width)]
+        x = cut(y.select("w", F.array(*columns).alias("x")))
+        y.unpersist()
+    scaled = x.select("w", F.array(*[F.col("x")[k] * float(values[k] ** 0.5) for k in range(width)]).alias("x"))
+    return scaled.select("w", l2_norm(F.col("x")).alias("vector"))
+
+
+def fit_sample(rows: DataFrame, most: int, seed: int, key: str) -> DataFrame:
+    """At most ``most`` rows to fit a model on, the same at any partitioning."""
+    from .sampling import hashed
+
+    return hashed(rows, most, seed, key)
+
+
 def topic_terms(df: DataFrame, topic: str, terms: Column, top: int = 8) -> DataFrame:
     """(topic, term, score, rank): class-based tf-idf labels, tf by ln(1 + mean topic size / count in all topics)."""
     c = df.select(topic, F.explode(terms).alias("term")).groupBy(topic, "term").agg(F.count("*").alias("n"))

@@ -24,7 +24,7 @@ def daily_vectors(df: DataFrame, day: str, vector: str, weight: Column, mode: st
         return long
     if mode != "decay":
         raise ValueError(f"unknown pooling {mode}")
-    return long.select("day", "pos", N.ewm_mean(F.col("x"), W.partitionBy("pos").orderBy("day"), halflife).alias("x"))
+    return N.ewm_mean(long.withColumnRenamed("x", "v"), F.col("v"), "x", "day", halflife, ("pos",)).select("day", "pos", "x")
 
 
 def sequences(df: DataFrame, day: str, vector: str, order: list[Column], weight: Column, k: int, width: int) -> DataFrame:
@@ -41,6 +41,35 @@ def sequences(df: DataFrame, day: str, vector: str, order: list[Column], weight:
     )
 
 
+def encoded(df: DataFrame, key: str, text: str, encode, width: int, batch: int = 64) -> DataFrame:
+    """(key, vector): texts through an encoder. ``encode`` takes a list of texts and gives as many vectors of ``width`` numbers.
+
+    This is the contract for any model: it is called in the workers, on batches sorted by
+    length, as padding to the longest wastes work. Null and empty texts get zero vectors
+    without a call.
+    """
+    import pandas as pd
+
+    def mapped(frames):
+        for frame in frames:
+            texts = frame[text].fillna("").tolist()
+            out = [[0.0] * width for _ in texts]
+            order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: len(texts[i]))
+            for a in range(0, len(order), batch):
+                own = order[a : a + batch]
+                for i, v in zip(own, encode([texts[i] for i in own]), strict=True):
+                    out[i] = [float(x) for x in v]
+            yield pd.DataFrame({key: frame[key], "vector": out})
+
+    return df.select(key, text).mapInPandas(mapped, f"{key} {dict(df.dtypes)[key]}, vector array<double>")
+
+
+def block(vectors: list[Column], columns: list[Column]) -> Column:
+    """Vectors and single columns side by side as one array of doubles; missing values are NaN, so every row keeps its width."""
+    known = lambda x: F.coalesce(x.cast("double"), F.lit(float("nan")))
+    return F.concat(*[F.transform(v, known) for v in vectors], F.array(*[known(c) for c in columns]))
+
+
 def importance(columns: list[str], model) -> list[tuple[str, float]]:
     """Columns by mean absolute coefficient, or by a tree model's own importance."""
     if hasattr(model, "featureImportances"):

@@ -39,15 +39,27 @@ def forward_fill(x: Column, order: WindowSpec) -> Column:
     return F.last(x, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
 
 
-def ewm_mean(x: Column, order: WindowSpec, halflife: float) -> Column:
-    """Exponentially weighted mean that skips nulls: a ratio of running sums.
+#: Half-lives of one block of :func:`ewm_mean`: what lies two blocks back weighs less than a double can tell.
+BLOCK_HALFLIVES = 200
 
-    Weights grow as 2 ** (i / halflife) with i the number of values so far; within
-    900 half-lives of values they stay finite.
+
+def ewm_mean(df: DataFrame, x: Column, name: str, order: str, halflife: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``name``: the exponentially weighted mean so far of ``x`` that skips nulls, in groups ``by``.
+
+    Weights grow as 2 ** (i / halflife) with i the number of values so far, counted from
+    the start of a block; the sums of the block before are carried in, scaled down. So
+    weights stay finite, however long the series.
     """
-    so_far = order.rowsBetween(W.unboundedPreceding, 0)
-    weight = F.when(x.isNotNull(), F.pow(F.lit(2.0), F.count(x).over(so_far) / F.lit(float(halflife))))
-    return F.sum(x * weight).over(so_far) / F.sum(weight).over(so_far)
+    size = F.lit(float(BLOCK_HALFLIVES * halflife))
+    i = F.count("_x").over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    own = df.withColumn("_x", x.cast("double")).withColumn("_i", i).withColumn("_b", F.floor(F.col("_i") / size))
+    own = own.withColumn("_w", F.when(F.col("_x").isNotNull(), F.pow(F.lit(2.0), (F.col("_i") - F.col("_b") * size) / halflife)))
+    sums = {"s": F.sum(F.col("_x") * F.col("_w")), "w": F.sum("_w")}
+    so_far = W.partitionBy(*by, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    blocks = own.groupBy(*by, "_b").agg(*[F.coalesce(c, F.lit(0.0)).alias(f"_p{n}") for n, c in sums.items()]).withColumn("_b", F.col("_b") + 1)
+    joined = own.withColumns({f"_{n}": c.over(so_far) for n, c in sums.items()}).join(blocks, [*by, "_b"], "left")
+    total = {n: F.coalesce(f"_{n}", F.lit(0.0)) + F.coalesce(F.col(f"_p{n}"), F.lit(0.0)) * 2.0**-BLOCK_HALFLIVES for n in sums}
+    return joined.select(*df.columns, F.try_divide(total["s"], total["w"]).alias(name))
 
 
 def softmax(score: Column, group: WindowSpec) -> Column:

@@ -77,11 +77,11 @@ def topk_per_day(spark, d):
     return N.top_k(articles(spark, d), "local_date", 5, F.desc("dup_count"), F.asc("article_id")).select("local_date", "article_id", "dup_count", "rank")
 
 
-@query(f"""WITH {RET}, k AS (SELECT date, CASE WHEN n >= 2 THEN ret END AS x FROM rt WHERE date < DATE '1998-01-01'), i AS (SELECT *, count(x) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS i FROM k)
+@query(f"""WITH {RET}, k AS (SELECT date, CASE WHEN n >= 2 THEN ret END AS x FROM rt), i AS (SELECT *, count(x) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS i FROM k)
  SELECT date, round(sum(x * pow(2, i / 5.0)) OVER w / sum(CASE WHEN x IS NOT NULL THEN pow(2, i / 5.0) END) OVER w, 6) AS ewm FROM i WINDOW w AS (ORDER BY date ROWS UNBOUNDED PRECEDING)""")
 def ewm_halflife(spark, d):
-    r = returns(spark, d).where("date < '1998-01-01'").withColumn("x", F.when(F.col("n") >= 2, F.col("ret")))
-    return r.select("date", r6(N.ewm_mean(F.col("x"), by_date(), 5), "ewm"))
+    r = returns(spark, d).withColumn("x", F.when(F.col("n") >= 2, F.col("ret")))
+    return N.ewm_mean(r, F.col("x"), "ewm", "date", 5).select("date", r6("ewm", "ewm"))
 
 
 @query(f"""WITH {ART}, e AS (SELECT article_id, local_date, exp(dup_count - max(dup_count) OVER (PARTITION BY local_date)) AS e FROM art)

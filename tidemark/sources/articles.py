@@ -39,17 +39,49 @@ def slot_url(stamp: Column, base: str) -> Column:
     return F.format_string(f"{base.rstrip('/')}/%s.gkg.csv.zip", stamp)
 
 
-def read_zipped(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the first member of each zip archive: (path, value). Spark reads gzip itself, but not zip."""
+def unzipped(files: DataFrame) -> DataFrame:
+    """Lines of the first member of each zip archive of ``files`` (path, content): (path, ok, value).
+
+    An archive that can't be read gives one row with ``ok`` false. Spark reads gzip
+    itself, but not zip.
+    """
 
     def lines(frames):
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(z.namelist()[0]) as f:
-                    text = f.read().decode("utf-8", "replace")
-                yield pd.DataFrame({"path": name, "value": text.split("\n")})
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(z.namelist()[0]) as f:
+                        text = f.read().decode("utf-8", "replace")
+                    yield pd.DataFrame({"path": name, "ok": True, "value": text.split("\n")})
+                except (zipfile.BadZipFile, IndexError):
+                    yield pd.DataFrame({"path": [name], "ok": [False], "value": [None]})
+
+    return files.select("path", "content").mapInPandas(lines, "path string, ok boolean, value string")
+
+
+def read_zipped(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the zip archives that have landed under ``path``, by :func:`unzipped`."""
+    return unzipped(spark.read.format("binaryFile").load(path))
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(lines, "path string, value string")
+def slot_states(wanted: DataFrame, lines: DataFrame, matches: Column) -> DataFrame:
+    """(path, state) of each wanted file: hit, miss (no line ``matches``), fail (unreadable) or missing (never landed)."""
+    seen = lines.groupBy("path").agg(F.bool_and("ok").alias("ok"), F.bool_or(F.coalesce(matches, F.lit(False))).alias("hit"))
+    state = F.when(F.col("ok").isNull(), "missing").when(~F.col("ok"), "fail").when(F.col("hit"), "hit").otherwise("miss")
+    return wanted.join(seen, "path", "left").select("path", state.alias("state"))
+
+
+def census(spark: SparkSession, start: str, end: str, families: Mapping[str, Iterable[str]], languages: Iterable[str] = (), stride: int = 1, chunks: int = 1, earliest: str | None = None) -> DataFrame:
+    """The requests of a census: (query_day, theme_family, query, chunk, window_start, window_end), one for each day, family and part of the day.
+
+    Families have requests of their own, so that a cap on answers never lets a busy family crowd out another.
+    """
+    day = F.explode(D.date_grid(F.greatest(F.lit(start), F.lit(earliest or start)).cast("date"), F.lit(end).cast("date"), stride)).alias("query_day")
+    family = F.explode(F.array(*[F.struct(F.lit(f).alias("theme_family"), F.lit(theme_query(t, languages)).alias("query")) for f, t in families.items()])).alias("f")
+    grid = spark.range(1).select(day).select("query_day", family).select("query_day", "f.*", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    minutes = 24 * 60 // chunks
+    at = lambda k: F.timestamp_add("MINUTE", (k * minutes).cast("int"), F.col("query_day").cast("timestamp_ntz"))
+    return grid.select("*", at(F.col("chunk")).alias("window_start"), at(F.col("chunk") + 1).alias("window_end"))
 
 
 def parse_records(lines: DataFrame, families: Mapping[str, Iterable[str]]) -> DataFrame:
@@ -107,6 +139,20 @@ def slice_volume(rows: DataFrame, ok_slots: DataFrame) -> DataFrame:
     return rows.groupBy("day", "theme_family").agg(F.count("*").alias("n"), F.avg("tone").alias("tone")).join(retrieved, "day").withColumn("volume", F.try_divide("n", "ok")).select("day", "theme_family", "volume", "tone")
 
 
+def scored(articles: DataFrame, key: str, words: str, lexicons: Mapping[str, Iterable[str]], path: str) -> DataFrame:
+    """(key, lm_<name>..., n_tokens, score) a row an article, written to ``path`` unless it is there already.
+
+    ``score`` is the share of ``pos`` words less that of ``neg`` words; null without words.
+    """
+    spark = articles.sparkSession
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        counts = {f"lm_{n}": X.lexicon_count(F.col(words), own) for n, own in lexicons.items()} | {"n_tokens": F.size(words)}
+        out = articles.select(key, *[c.alias(n) for n, c in counts.items()])
+        out.withColumn("score", F.try_divide(F.col("lm_pos") - F.col("lm_neg"), F.nullif(F.col("n_tokens"), F.lit(0)))).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def build_lexicon(raw: DataFrame, categories: list[str], word: str = "Word") -> DataFrame:
     """Lower-case words with a 0/1 flag a category (above zero in the master list), rows with any flag."""
     missing = {word, *categories} - set(raw.columns)

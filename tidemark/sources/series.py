@@ -63,6 +63,35 @@ def manifest(df: DataFrame, **counts: Column) -> str:
     return json.dumps(df.agg(*[c.alias(n) for n, c in counts.items()]).first().asDict(), default=str, sort_keys=True)
 
 
+def write_dataset(df: DataFrame, path: str, **counts: Column) -> None:
+    """A table as Parquet, and beside it the manifest of what it holds; Spark's commit shows a finished table or none."""
+    df.write.mode("overwrite").parquet(f"{path}/data")
+    spark = df.sparkSession
+    text = manifest(spark.read.parquet(f"{path}/data"), **counts)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+
+
+def read_dataset(spark, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/data")
+
+
+def read_manifest(spark, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/manifest").first()[0])
+
+
+def write_sample(df: DataFrame, strata: list[str], size: int, seed: int, key: str, path: str, built: dict, rows: int) -> int:
+    """A stratified sample of a build as one CSV file; returns its rows. A synthetic or stale build, whose manifest has another count, is refused."""
+    from ..operators.sampling import stratified
+
+    if built.get("synthetic"):
+        raise ValueError("samples are not drawn from a synthetic build")
+    if built.get("rows") != rows:
+        raise ValueError(f"the manifest has {built.get('rows')} rows and the table {rows}: the build is stale")
+    own = stratified(df, strata, size, seed, key)
+    write_report(own, path)
+    return own.count()
+
+
 def remaining(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Work that no finished part covers."""
     return work.join(done.select(key), key, "left_anti")
