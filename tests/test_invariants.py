@@ -333,7 +333,7 @@ def test_complete_days_stream(spark, tmp_path):
     rows = [("d1", s, 5) for s in (2, 0, 1)] + [("d1", 0, 5), ("d2", 0, 9)]
     frame(spark, rows, "day string, slot int, n int").coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("day string, slot int, n int").parquet(f"{tmp_path}/in")
-    got = [tuple(r) for r in Y.run_once(Y.complete_days(stream, 3), "days").collect()]
+    got = [tuple(r) for r in Y.run_once(Y.complete_days(stream, 3), f"{tmp_path}/out").select("day", "volume").collect()]
     assert got == [("d1", 5.0)]
 
 
@@ -342,7 +342,20 @@ def test_first_copies_stream(spark, tmp_path):
 
     frame(spark, [("Oil up", "2024-01-01 08:00:00"), ("Oil up", "2024-01-01 09:00:00"), ("Gas", "2024-01-01 09:00:00")], "title string, s string").select("title", F.col("s").cast("timestamp").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("title string, ts timestamp").parquet(f"{tmp_path}/in")
-    assert Y.run_once(Y.first_copies(stream), "copies").count() == 2
+    assert Y.run_once(Y.first_copies(stream), f"{tmp_path}/out").count() == 2
+
+
+def test_near_copies_stream(spark, tmp_path):
+    from tidemark.streaming import daily as Y
+
+    a, b = "fed raises interest rates by a quarter point amid inflation", "local football team wins the championship after a long season"
+    batches = [[(1, 0, a), (2, 3600, b)], [(3, 7200, a + "."), (4, 10**6, a)]]
+    out = f"{tmp_path}/out"
+    for n, rows in enumerate(batches):
+        frame(spark, rows, "id long, t long, title string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("id long, t long, title string").parquet(f"{tmp_path}/in")
+        got = Y.run_once(stream, out, step=Y.near_copies(out))
+    assert {r["id"]: r["root"] for r in got.collect()} == {1: None, 2: None, 3: 1, 4: None}
 
 
 def test_build_of_synthetic_inputs(spark):

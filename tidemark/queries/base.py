@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,3 +81,12 @@ def r6(column, name: str, digits: int = 6):
     """A double rounded as both sides round it."""
     c = F.col(column) if isinstance(column, str) else column
     return F.round(c, digits).alias(name)
+
+
+def scratch(spark, name: str) -> str:
+    """A folder of its own in the shared folder that the session names, else in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if base.startswith(("file:", "/")):
+        atexit.register(shutil.rmtree, path.removeprefix("file://").removeprefix("file:"), True)
+    return path

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
 import io
-import shutil
-import uuid
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,25 +14,15 @@ from ..operators import sampling as M
 from ..operators import targets as P
 from ..operators import vectors as V
 from ..operators import windows as N
-from ..operators.calendar import attach_news_day, by_date
+from ..operators.calendar import attach_news_day
 from ..plans import dataset as B
 from ..sources import articles as S
 from ..sources import series as R
 from ..sources import synthetic as Y
-from .base import ART, BUCKET, RET, articles, bucketed, query, r6, table, weekdays
-from .evaluation import predictions
+from .base import ART, BUCKET, RET, articles, query, r6, scratch, table, weekdays
 from .windows import returns
 
 
-def scratch(spark, name: str) -> str:
-    """A folder of its own in the shared folder that the session names, else in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-    if base.startswith(("file:", "/")):
-        atexit.register(shutil.rmtree, path.removeprefix("file://").removeprefix("file:"), True)
-    return path
-
-
 @F.pandas_udf(T.BinaryType())
 def _zipped(text: pd.Series) -> pd.Series:
     def one(t: str) -> bytes:
