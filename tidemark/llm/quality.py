@@ -141,20 +141,23 @@ def is_held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Return ``keep`` columns of ``docs`` (doc_id by default) with ``score``: the probability of quality 1.
+def quality_model(docs: DataFrame, labels: DataFrame):
+    """Fit the classifier on ``docs`` (doc_id, text) and return its column: the probability of quality 1 of a text.
+
+    The column takes nothing but the hashed tokens of ``text`` to the workers, so that
+    rows keep their other columns in the JVM, whatever their names.
 
     Word vectors come from all rows of ``docs``. The network learns from at most
-    TRAIN_ROWS rows that ``labels`` (doc_id, quality) marks and that are not held
-    out (crc32 of the id's text modulo 4 is 2). Texts alone are inputs. A null text
-    counts as empty; empty texts get the score of a text without tokens. Rows with a
-    null doc_id are scored and never train. Without any usable label every score is
-    0.5; without rows of one class the network learns the other. Repeated rows get
-    equal scores. Other columns are ignored.
+    TRAIN_ROWS ids that ``labels`` (doc_id, quality) marks and that are not held out
+    (crc32 of the id's text modulo 4 is 2); of rows that share an id the text that is
+    least in order trains, of labels that share an id the greatest. Texts alone are
+    inputs, and whole ones, however long. A null text counts as empty; empty texts get
+    the score of a text without tokens. Rows with a null doc_id are scored and never
+    train. Without any usable label every score is 0.5; without rows of one class the
+    network learns the other. Equal texts get equal scores. An empty table gives a
+    model without labels. Other columns are ignored.
     """
-    keep = ["doc_id"] if keep is None else keep
-    tokens = docs.select("doc_id", token_ids().alias("ids"))
-    table = word_vectors(tokens)
+    table = word_vectors(docs.select(token_ids().alias("ids")))
     shared = docs.sparkSession.sparkContext.broadcast(table)  # BUCKETS x WIDTH floats, 4 MB at any input size
 
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -167,30 +170,30 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None = N
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "x": pa.array(list(x), pa.list_(pa.float32())), "quality": batch.column("quality")})
 
     rows = (
-        docs.select("doc_id", "text").join(chosen, "doc_id")
-        .select("doc_id", token_ids().alias("ids"), "quality")
+        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # TRAIN_ROWS rows of two numbers at most
+        .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").cast("int").alias("quality"))
+        .select(F.col("doc_id").cast("long"), token_ids().alias("ids"), "quality")
         .mapInArrow(featured, "doc_id long, x array<float>, quality int")
         .toPandas()
         .sort_values("doc_id")
-        .drop_duplicates("doc_id")
     )
     network = Network(2 * WIDTH + 4)
     if len(rows):
         network.fit(np.stack(rows["x"].to_numpy()).astype(np.float64), rows["quality"].to_numpy().astype(np.float64))
     else:
         network.w2[:] = 0
-    fields = [f for f in docs.schema.fields if f.name in keep]
 
-    def scored(batches):
-        for batch in batches:
-            ids, offsets = flat(batch.column("ids"), np.int32)
-            p = network.probability(pooled(ids, offsets, shared.value).astype(np.float64))
-            own = {c: batch.column(c) for c in keep}
-            yield pa.record_batch({**own, "score": pa.array(p)})
+    @F.arrow_udf("double")
+    def probability(tokens: pa.Array) -> pa.Array:
+        ids, offsets = flat(tokens, np.int32)
+        return pa.array(network.probability(pooled(ids, offsets, shared.value).astype(np.float64)))
+
+    return probability(token_ids())
 
-    from pyspark.sql import types as T
 
-    return docs.select(*keep, token_ids().alias("ids")).mapInArrow(scored, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
+def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Return doc_id and ``score`` of every row of ``docs``, by :func:`quality_model`; an empty table gives an empty result."""
+    return docs.select("doc_id", quality_model(docs, labels).alias("score"))
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
