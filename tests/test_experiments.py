@@ -85,3 +85,25 @@ def test_components_of_a_long_chain(spark):
     nodes = spark.range(301).union(spark.createDataFrame([(1000,), (1001,), (5000,)], "id long"))
     got = {r["id"]: r["root"] for r in P.components(nodes, edges).collect()}
     assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000, 5000: 5000}
+
+
+def test_arma_recovers_its_parameters(spark):
+    import numpy as np
+
+    from tidemark.operators import models as M
+
+    r = np.random.default_rng(7)
+    e = r.normal(size=3000)
+    y = np.zeros(3000)
+    for t in range(1, 3000):
+        y[t] = 0.3 + 0.6 * y[t - 1] + e[t] + 0.4 * e[t - 1]
+    w, rss = M.arma_fit(y, 1, 1)
+    assert abs(w[1] - 0.6) < 0.06 and abs(w[2] - 0.4) < 0.06 and abs(rss / 3000 - 1) < 0.08
+    days = pd.date_range("2010-01-01", periods=600)
+    df = spark.createDataFrame(pd.DataFrame({"s": "a", "d": days.date, "y": y[:600]}))
+    got = M.arma_forecast(df, "s", "d", "y", ((0, 0), (1, 0), (1, 1)), "2011-03-01").orderBy("d").toPandas()
+    assert (got.p[0], got.q[0]) == (1, 1)
+    later = df.withColumn("y", F.when(F.col("d") >= "2011-08-01", 99.0).otherwise(F.col("y")))
+    again = M.arma_forecast(later, "s", "d", "y", ((1, 1),), "2011-03-01").orderBy("d").toPandas()
+    early = pd.to_datetime(got.d) <= "2011-08-01"  # the day's forecast has seen only earlier days
+    assert np.allclose(got.forecast[early][1:], again.forecast[early][1:], equal_nan=True)

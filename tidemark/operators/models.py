@@ -119,6 +119,77 @@ def ar_forecast(series: DataFrame, key: str, date: str, value: str, orders: tupl
     return series.select(key, date, value).groupBy(key).applyInPandas(one, f"{key} {kind[key]}, {date} {kind[date]}, p int, forecast double")
 
 
+def arma_residuals(w: np.ndarray, y: np.ndarray, p: int, q: int) -> np.ndarray:
+    """One-step errors of an ARMA(p, q) with weights (constant, p lags, q past errors); the first p rows are given, errors before them 0."""
+    n = len(y)
+    e = np.zeros(n)
+    e[p:] = y[p:] - w[0] - sum((w[k] * y[p - k : n - k] for k in range(1, p + 1)), np.zeros(n - p))
+    if q:
+        theta, out = w[p + 1 :].tolist(), e.tolist()
+        for t in range(p, n):
+            for j, c in enumerate(theta, 1):
+                if t - j >= p:
+                    out[t] -= c * out[t - j]
+        e = np.array(out)
+    return e
+
+
+def arma_fit(y: np.ndarray, p: int, q: int, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """Weights of least conditional sum of squares, by damped Gauss-Newton steps, and that sum."""
+    w = np.zeros(1 + p + q)
+    w[0], damp = y.mean(), 1e-3
+    e = arma_residuals(w, y, p, q)
+    best = float(e @ e)
+    for _ in range(rounds):
+        step = 1e-6 * np.maximum(np.abs(w), 1e-2)
+        jac = np.stack([(arma_residuals(w + step * (np.arange(len(w)) == k), y, p, q) - e) / step[k] for k in range(len(w))], 1)
+        a, g = jac.T @ jac, jac.T @ e
+        for _ in range(8):
+            new = w - np.linalg.solve(a + damp * np.diag(np.diag(a) + 1e-12), g)
+            with np.errstate(over="ignore", invalid="ignore"):
+                tried = arma_residuals(new, y, p, q)
+                now = float(tried @ tried)
+            if np.isfinite(now) and now < best and np.abs(new[p + 1 :]).sum() < 2:
+                damp /= 4
+                break
+            damp *= 4
+        else:
+            break
+        gain, w, e, best = best - now, new, tried, now
+        if gain <= 1e-10 * best:
+            break
+    return w, best
+
+
+def arma_forecast(series: DataFrame, key: str, date: str, value: str, orders: tuple[tuple[int, int], ...], fit_before: str) -> DataFrame:
+    """One-step ARMA forecasts by series: order (p, q) chosen by AIC on rows before ``fit_before``, parameters then frozen.
+
+    Parameters have the least conditional sum of squares. A forecast uses earlier rows
+    only; rows without a value are left out. A series is day-grain and small; it is
+    fitted in one task.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=[value]).sort_values(date)
+        y, n = pdf[value].to_numpy(float), int((pd.to_datetime(pdf[date]) < pd.Timestamp(fit_before)).sum())
+        best = None
+        for p, q in orders:
+            if n > 2 * (p + q + 1):
+                w, rss = arma_fit(y[:n], p, q)
+                aic = n * np.log(max(rss, 1e-12) / n) + 2 * (p + q + 1)
+                if best is None or aic < best[0]:
+                    best = aic, p, q, w
+        out = pd.DataFrame({key: pdf[key], date: pdf[date]})
+        if best is None:
+            return out.assign(p=None, q=None, forecast=np.nan)
+        forecast = y - arma_residuals(best[3], y, best[1], best[2])
+        forecast[: best[1]] = np.nan
+        return out.assign(p=best[1], q=best[2], forecast=forecast)
+
+    kind = dict(series.dtypes)
+    return series.select(key, date, value).groupBy(key).applyInPandas(one, f"{key} {kind[key]}, {date} {kind[date]}, p int, q int, forecast double")
+
+
 def pooled(df: DataFrame, group: Column, vector: str, weight: Column) -> DataFrame:
     """(day, pos, x): weighted mean of vectors, an element a row; partial sums before the shuffle."""
     e = df.select(group.alias("day"), weight.alias("w"), F.posexplode(vector).alias("pos", "v"))

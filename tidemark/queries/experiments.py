@@ -69,3 +69,10 @@ def sampled_topics(spark, d):
     """Topics fitted on a hashed sample of the training rows; every row gets one."""
     e = table(spark, d, "embeddings")
     return M.topics(M.fit_sample(e.where("label IS NOT NULL"), 400, 42, "vec_id"), e, "embedding", 5).select("vec_id", "topic")
+
+
+@query()
+def arma_forecast(spark, d):
+    """One-step forecasts of the returns by an ARMA model chosen on the early rows."""
+    p = predictions(spark, d).select(F.lit("y").alias("series"), "date", "ret")
+    return M.arma_forecast(p, "series", "date", "ret", tuple((p, q) for p in range(3) for q in range(3)), "1999-01-01")
