@@ -6,23 +6,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, flat, materialize, mix64
-from .components import components
+from .alike import band_keys, minima, similar, sorted_sets
+from .common import documents, materialize, unused
 
-#: Characters of a shingle, rows and bands of the signature, least Jaccard similarity of linked lines.
-SHINGLE_CHARS, ROWS, BANDS, LEAST = 8, 4, 12, 0.8
-#: The signature's HASHES * BINS = ROWS * BANDS minima; a stride without common factor spreads a band over the hashes.
-HASHES, BINS, _STRIDE = 3, 16, 17
-#: Lines of a band key that all others of the key are compared with in one round, by signature, and rows compared at a time.
-LEADERS, COMPARED = 4096, 64
-#: Equal minima of 48 that a pair needs to be verified; at similarity LEAST or more 38 are expected, with a deviation of 2.8.
-LEAST_EQUAL = 30
-#: Shingles hashed at a time, so that work stays in the processor's cache.
-_SLICE = 1 << 16
-_BASE = 0x9E3779B97F4A7C15
+#: Characters of a shingle, and rows and bands of the signature: one of 1,900 pairs at similarity 0.8 shares no band.
+SHINGLE_CHARS, ROWS, BANDS = 8, 4, 12
+#: Characters of texts, and of lines, that are worked on together.
+CHUNK, SLICE = 1 << 20, 1 << 16
+_BASE, _SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+#: White space besides line feeds and single spaces: in ASCII, and elsewhere.
+_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_MORE_SPACES = "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def normal(line: str) -> str:
@@ -30,341 +28,181 @@ def normal(line: str) -> str:
     return " ".join(line.split()).lower()
 
 
-def shingles(line: str) -> set[str]:
-    """Character shingles of a normalised line; a shorter line is one shingle."""
-    return {line[i : i + SHINGLE_CHARS] for i in range(max(1, len(line) - SHINGLE_CHARS + 1))}
-
-
-def jaccard(a: str, b: str) -> float:
-    x, y = shingles(a), shingles(b)
-    common = len(x & y)
-    return common / (len(x) + len(y) - common)
+def normal_lines(text: str) -> list[str]:
+    """The normal form of each line of a text; most texts have no white space to collapse."""
+    plain = not ("  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in _SPACES))
+    if plain and (text.isascii() or not any(c in text for c in _MORE_SPACES)):
+        return text.lower().split("\n")
+    return [normal(x) for x in text.split("\n")]
 
 
 def _line_id(line: str) -> int:
     return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def signature(hashed: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """n x (HASHES * BINS) minima: every hash deals a line's shingles into BINS bins and keeps the least of each.
-
-    An empty bin takes the value of the next bin that is not, so short lines have full
-    signatures. One sort does for all bins of a hash.
-    """
-    out = np.empty((n, HASHES * BINS), np.uint32)
-    owner = owner << np.uint64(32)
-    again = mix64(hashed + np.uint64(1))
-    # 32 bits a hash: 4 of the bin, 28 of the value
-    for k, h in enumerate((hashed & np.uint64(0xFFFFFFFF), hashed >> np.uint64(32), again >> np.uint64(32))):
-        key = np.sort(owner | h)
-        group = key >> np.uint64(28)
-        first = np.concatenate(([True], group[1:] != group[:-1]))
-        own = np.zeros(n * BINS, np.uint32)
-        there = np.zeros(n * BINS, bool)
-        own[group[first]], there[group[first]] = (key[first] & np.uint64(0xFFFFFFF)).astype(np.uint32), True
-        own, there = own.reshape(n, BINS), there.reshape(n, BINS)
-        full, at = own.copy(), there.copy()
-        for step in range(1, BINS):
-            if at.all():
-                break
-            new = ~at & np.roll(there, -step, 1)
-            full[new] = np.roll(own, -step, 1)[new] + np.uint32(step * 0x9E3779B1 & 0xFFFFFFFF)
-            at |= new
-        out[:, k * BINS : (k + 1) * BINS] = full
-    return out
-
-
 def _grams(text: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of the SHINGLE_CHARS code points from each place on."""
-    code = np.pad(mix64(text.astype(np.uint64)), (0, SHINGLE_CHARS))
-    out, power = np.zeros(len(text), np.uint64), 1
-    for k in range(SHINGLE_CHARS):
-        out += code[k : k + len(text)] * np.uint64(power)
-        power = power * _BASE % 2**64
+    """Scrambled polynomial hashes of the SHINGLE_CHARS code points from each place on, doubled up from single ones."""
+    out, base, width = np.pad(text, (0, SHINGLE_CHARS - 1)).astype(np.uint64), _BASE, 1
+    while width < SHINGLE_CHARS:
+        out = out[:-width] * np.uint64(base) + out[width:]
+        base, width = base * base % 2**64, 2 * width
+    out *= _SPREAD
+    out ^= out >> np.uint64(32)
+    out *= _SPREAD
     return out
 
 
-def band_keys(lines: list[str]) -> np.ndarray:
-    """The bands (lines x BANDS) of normalised, non-empty lines: each packs 16 bits of ROWS minima, so that they are the signature too."""
-    length = np.array([len(x) for x in lines])
-    text = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
-    start = np.cumsum(length) - length
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the character shingles of each line, repeats included; a shorter line is one shingle."""
+    length = np.fromiter(map(len, lines), np.int64, len(lines))
     n = np.maximum(length - SHINGLE_CHARS + 1, 1)
-    step = _grams(text)
-    for i in np.flatnonzero(length < SHINGLE_CHARS):  # the whole line is the shingle
-        step[start[i]] = np.uint64(_line_id(lines[i]) + (1 << 63))
-    step = mix64(step)
-    out = np.empty((len(lines), BANDS), np.uint64)
-    ends = np.cumsum(n)
-    a = 0
+    offsets = np.concatenate(([0], np.cumsum(n)))
+    out = np.empty(offsets[-1], np.uint64)
+    ends, a = np.cumsum(length), 0
     while a < len(lines):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _SLICE, "right")))
-        owner = np.repeat(np.arange(b - a, dtype=np.int64), n[a:b])
-        within = np.arange(len(owner)) - np.repeat(ends[a:b] - n[a:b] - (ends[a] - n[a]), n[a:b])
-        own = signature(step[start[a:b][owner] + within], owner.astype(np.uint64), b - a)
-        key = np.zeros((b - a, BANDS), np.uint64)
-        for r in range(ROWS):  # a band takes its rows from different hashes
-            key = key << np.uint64(16) | (own[:, (np.arange(BANDS) * ROWS + r) * _STRIDE % (HASHES * BINS)] & np.uint32(0xFFFF)).astype(np.uint64)
-        out[a:b] = key
+        done = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + SLICE, "right")))
+        step = _grams(np.frombuffer("".join(lines[a:b]).encode("utf-32-le", "surrogatepass"), np.uint32))
+        at = np.repeat(ends[a:b] - length[a:b] - done - offsets[a:b] + offsets[a], n[a:b]) + np.arange(offsets[b] - offsets[a])
+        out[offsets[a] : offsets[b]] = step[np.minimum(at, max(len(step) - 1, 0))] if len(step) else 0
         a = b
-    return out.view(np.int64)
+    for i in np.flatnonzero(length < SHINGLE_CHARS):  # the whole line is the shingle
+        out[offsets[i]] = _line_id(lines[i]) + (1 << 63)
+    return out, offsets
+
+
+def shingle_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return sorted_sets(*shingle_hashes(lines))
+
+
+def bands_of(lines: list[str]) -> np.ndarray:
+    """The band keys (lines x BANDS) of normalised, non-empty lines."""
+    hashes, offsets = shingle_hashes(lines)
+    return band_keys(minima((hashes >> np.uint64(32)).astype(np.uint32), offsets, ROWS * BANDS), BANDS)
 
 
 def _lines_of(batches):
-    """A row for each line that has characters: id, place and band keys (none where an equal line of the chunk has them)."""
+    """A row for each line that has characters: id, place, whether it is its row's first, and band keys (none where an equal line of the chunk has them)."""
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        ids, prints, texts = (batch.column(c).to_pylist() for c in ("doc_id", "print", "text"))
         a = 0
         while a < len(ids):
             b, chars = a, 0
-            while b < len(ids) and (b == a or chars + len(texts[b]) <= 1 << 20):
+            while b < len(ids) and (b == a or chars + len(texts[b]) <= CHUNK):
                 chars += len(texts[b])
                 b += 1
             place: dict[str, int] = {}
-            which, doc, number = [], [], []
+            which, row, number = [], [], []
             for i in range(a, b):
-                for k, line in enumerate(texts[i].split("\n")):
-                    if line := normal(line):
+                for k, line in enumerate(normal_lines(texts[i])):
+                    if line:
                         which.append(place.setdefault(line, len(place)))
-                        doc.append(ids[i])
+                        row.append(i)
                         number.append(k)
             a = b
             if which:
                 lines = list(place)
-                keys, name = band_keys(lines), np.array([_line_id(x) for x in lines])
+                which, row = np.array(which), np.array(row)
                 first = np.zeros(len(which), bool)
                 first[np.unique(which, return_index=True)[1]] = True
-                which = np.array(which)
-                own = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], np.cumsum(first * BANDS))).astype(np.int32)), pa.array(keys[which[first]].ravel())
-                )
-                yield pa.record_batch([pa.array(name[which]), pa.array(doc, pa.int64()), pa.array(number, pa.int64()), own], ["line", "doc_id", "number", "bands"])
-
+                keys, name = bands_of(lines), np.fromiter(map(_line_id, lines), np.int64, len(lines))
+                own: list[bytes | None] = [None] * len(which)
+                for at, k in zip(np.flatnonzero(first).tolist(), which[first].tolist(), strict=True):
+                    own[at] = keys[k].tobytes()
+                head = np.concatenate(([True], row[1:] != row[:-1]))
+                columns = [pa.array(name[which]), pa.array(np.array(ids, np.int64)[row]), pa.array(np.array(prints, np.int64)[row]), pa.array(np.array(number, np.int32)), pa.array(head), pa.array(own, pa.binary())]
+                yield pa.record_batch(columns, ["line", "doc_id", "print", "number", "head", "bands"])
 
-def _local_links(batches):
-    """Within a partition: the first line of a band key stands for it; the others become candidate links at once."""
-    leader: dict[int, int] = {}
-    for batch in batches:
-        line = np.repeat(batch.column("line").to_numpy(), BANDS)
-        keys, _ = flat(batch.column("bands"), np.int64)
-        keys = mix64(keys.view(np.uint64) ^ np.tile(mix64(np.arange(1, BANDS + 1, dtype=np.uint64)), batch.num_rows)).view(np.int64)
-        to = np.fromiter(map(leader.setdefault, keys.tolist(), line.tolist()), np.int64, len(keys))
-        yield pa.record_batch([pa.array(keys), pa.array(line), pa.array(to)], ["key", "line", "leader"])
 
+LINES = "line long, doc_id long, print long, number int, head boolean, bands binary"
 
-def _stand_links(batches):
-    """Over rows sorted by key: candidate links pass; of the lines that stand for a key all meet the first. Only that line is held."""
-    key = leader = None
-    for batch in batches:
-        k, x, to = (batch.column(c).to_numpy() for c in ("key", "line", "leader"))
-        stands = x == to
-        passed = [(k[~stands], x[~stands], to[~stands])]
-        k, x = k[stands], x[stands]
-        if len(k):
-            fresh = np.concatenate(([k[0] != key], k[1:] != k[:-1]))
-            at = np.maximum.accumulate(np.where(fresh, np.arange(len(k)), -1))
-            to = np.where(at >= 0, x[at], 0 if leader is None else leader)
-            key, leader = k[-1], to[-1]
-            own = x != to
-            passed.append((k[own], x[own], to[own]))
-        yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*passed, strict=True)], ["key", "line", "leader"])
-
-
-def round_links(least_equal: int):
-    """Over rows sorted by key, lines of small components first: pairs of a key's LEADERS first lines with later lines of other components whose signatures agree in ``least_equal`` minima.
-
-    Rows come back with ``rank``, so that leaders, which have met all, are left out of the next round.
-    """
 
-    def found_of(batches):
-        key, rank, held = None, 0, None
-        for batch in batches:
-            k, line, part = (batch.column(c).to_numpy() for c in ("key", "line", "part"))
-            if not len(k):
-                continue
-            bands, _ = flat(batch.column("bands"), np.int64)
-            sign = np.ascontiguousarray(bands).view(np.uint16).reshape(len(k), -1)
-            if held is None:
-                held = np.zeros((LEADERS, sign.shape[1]), np.uint16), np.zeros(LEADERS, np.int64), np.zeros(LEADERS, np.int64)
-            found, ranks = [], np.zeros(len(k), np.int64)
-            starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-            for a, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(k)], strict=True):
-                if k[a] != key:
-                    key, rank = k[a], 0
-                for c in range(a, stop, COMPARED):
-                    d = min(c + COMPARED, stop)
-                    n = min(rank, LEADERS)
-                    new = min(d - c, LEADERS - n)
-                    for x, own in zip(held, (sign, line, part), strict=True):
-                        x[n : n + new] = own[c : c + new]
-                    lead = n + new
-                    equal = (sign[c:d, None] == held[0][None, :lead]).sum(2, dtype=np.int8)
-                    row, to = np.nonzero((equal >= least_equal) & (part[c:d, None] != held[2][None, :lead]))
-                    found.append((line[c:d][row], held[1][to]))
-                    ranks[c:d] = rank + np.arange(d - c)
-                    rank += d - c
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            none = pa.nulls(len(a), pa.int64())
-            columns = [pa.concat_arrays([pa.array(k), none]), pa.array(np.concatenate((line, a))), pa.concat_arrays([pa.nulls(len(k), pa.int64()), pa.array(b)]), pa.concat_arrays([pa.array(ranks), none])]
-            yield pa.record_batch(columns, ["key", "line", "leader", "rank"])
-
-    return found_of
-
-
-def _texts_of(batches):
+def _wanted_texts(batches):
     for batch in batches:
         line, text = [], []
         for whole, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            own = whole.split("\n")
+            own = normal_lines(whole)
             for w in wanted:
                 line.append(w["line"])
-                text.append(normal(own[w["number"]]))
+                text.append(own[w["number"]])
         yield pa.record_batch([pa.array(line, pa.int64()), pa.array(text, pa.string())], ["line", "normal"])
 
 
-def _shingle_hashes(text: str) -> np.ndarray:
-    """Sorted 64-bit hashes of a line's distinct shingles."""
-    if len(text) < SHINGLE_CHARS:
-        return np.array([_line_id(text) + (1 << 63)], np.uint64)
-    return np.unique(mix64(_grams(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))[: len(text) - SHINGLE_CHARS + 1]))
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _verified(batches):
-    known: dict[str, np.ndarray] = {}
-    for batch in batches:
-        like = []
-        for x, y in zip(batch.column("a_text").to_pylist(), batch.column("b_text").to_pylist(), strict=True):
-            if len(known) > 4000:
-                known.clear()
-            p, q = known.get(x), known.get(y)
-            if p is None:
-                p = known[x] = _shingle_hashes(x)
-            if q is None:
-                q = known[y] = _shingle_hashes(y)
-            small, large = (p, q) if len(p) <= len(q) else (q, p)
-            if len(small) < LEAST * len(large):
-                like.append(False)
-                continue
-            at = np.searchsorted(large, small)
-            common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-            like.append(common >= LEAST * (len(p) + len(q) - common))
-        yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "alike": pa.array(like, pa.bool_())})
-
-
-def _tested(pairs: DataFrame, texts: DataFrame, verified) -> DataFrame:
-    """Pairs (a, b) with ``alike``: whether their exact similarity, by ``verified``, reaches its least."""
-    a, b = texts.select(F.col("line").alias("a"), F.col("normal").alias("a_text")), texts.select(F.col("line").alias("b"), F.col("normal").alias("b_text"))
-    joined = pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text")
-    return materialize(joined.mapInArrow(verified, "a long, b long, alike boolean"), "tested")
-
-
-def candidates(local: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From links (key, line, leader) within partitions: pairs of each key's lines with one of them, and the lines (key, line) of keys with pairs."""
-    # stands meet by key; links within a partition lie anywhere, so that a common key fills no partition
-    dealt = local.repartition(F.when(F.col("line") == F.col("leader"), F.col("key")).otherwise(F.col("line"))).sortWithinPartitions("key")
-    pending = materialize(dealt.mapInArrow(_stand_links, "key long, line long, leader long"), "pairs")
-    members = materialize(pending.select("key", "line").union(pending.select("key", F.col("leader").alias("line"))).distinct(), "members")
-    return pending, members
-
-
-def settled(pending: DataFrame, members: DataFrame, kinds: DataFrame, texts: DataFrame, verified, least_equal: int) -> DataFrame:
-    """Components (id, component) of candidates ``pending`` (key, line, leader) and of all later pairs of a key's ``members`` (key, line).
-
-    ``kinds`` (line, bands) has signatures and ``texts`` (line, normal) what ``verified`` compares.
-    """
-    tested = _tested(pending.select(F.col("line").alias("a"), F.col("leader").alias("b")), texts, verified)
-    found = materialize(components(tested.where("alike")), "parts")
-    while True:
-        part = found.select(F.col("id").alias("line"), F.col("component").alias("part"))
-        placed = members.join(part, "line", "left").select("key", "line", F.coalesce("part", "line").alias("part"))
-        mixed = placed.groupBy("key").agg((F.min("part") != F.max("part")).alias("mixed")).where("mixed").select("key")
-        sizes = placed.groupBy("key", "part").agg(F.count("*").alias("size"))
-        open_ = placed.join(mixed, "key", "left_semi").join(sizes, ["key", "part"]).join(kinds.select("line", "bands"), "line")
-        # by a function of the key: a repartition that the join below already gives is optimised out, and a local shuffle read then breaks it
-        rows = open_.repartition(F.xxhash64("key")).sortWithinPartitions("key", "size", "line").select("key", "line", "part", "bands")
-        met = materialize(rows.mapInArrow(round_links(least_equal), "key long, line long, leader long, rank long"), "round")
-        if met.isEmpty():
-            return found
-        done = tested.select("a", "b")
-        fresh = met.where("leader IS NOT NULL").select(F.greatest("line", "leader").alias("a"), F.least("line", "leader").alias("b")).distinct()
-        untried = fresh.join(done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-        now = _tested(untried, texts, verified)
-        tested = tested.union(now)
-        new = now.where("alike")
-        if not new.isEmpty():
-            name = part.select(F.col("line").alias("a"), F.col("part").alias("pa")), part.select(F.col("line").alias("b"), F.col("part").alias("pb"))
-            joins = new.join(name[0], "a", "left").join(name[1], "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
-            merged = components(joins).withColumnRenamed("id", "part")
-            known = part.union(members.join(part, "line", "left_anti").select("line", F.col("line").alias("part")).distinct())
-            found = materialize(known.join(merged, "part", "left").select(F.col("line").alias("id"), F.coalesce("component", "part").alias("component")), "parts")
-        members = materialize(met.where(F.col("rank") >= LEADERS).select("key", "line"), "members")
-
-
-def line_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Return the lines (line, doc_id, number), their kinds (line, first place) and the components (id, component) of kinds.
-
-    Lines of equal normal form are one kind. Kinds that share a band key are tested
-    against one line of that key, and components follow. Where a key still holds lines
-    of different components, all its pairs across components are compared by signature,
-    LEADERS lines against all in a round, and those that are alike are verified, until
-    each key has one component or no pair left: no candidate is given up.
+def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Return the lines of ``docs`` (LINES) and the components (id, component) of lines that are alike another.
+
+    Lines of equal normal form have one id, and a line's place is its row, by id and
+    hash of the text, and its number in it.
     """
-    lines = materialize(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null").mapInArrow(_lines_of, "line long, doc_id long, number long, bands array<long>"), "lines")
-    kinds = materialize(lines.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.max("bands").alias("bands")), "kinds")
-    local = kinds.select("line", "bands").mapInArrow(_local_links, "key long, line long, leader long")
-    pending, members = candidates(local)
-    seen = members.select("line").distinct()
-    wanted = kinds.join(seen, "line", "left_semi").select("line", "first.*").groupBy("doc_id").agg(F.collect_list(F.struct("line", "number")).alias("wanted"))
-    whole = docs.select(F.col("doc_id").cast("long"), "text")
-    texts = materialize(whole.join(wanted.hint("shuffle_hash"), "doc_id").select("text", "wanted").mapInArrow(_texts_of, "line long, normal string").dropDuplicates(["line"]), "texts")
-    return lines, kinds, settled(pending, members, kinds, texts, _verified, LEAST_EQUAL)
-
-
-def removals(docs: DataFrame) -> DataFrame:
-    """Return (doc_id, removed): the numbers of the lines that go, of documents that lose any."""
-    lines, kinds, joined = line_links(docs)
-    place = kinds.select("line", "first").join(joined, F.col("line") == F.col("id"), "left").withColumn("component", F.coalesce("component", "line"))
-    stays = place.groupBy("component").agg(F.min("first").alias("stays"), F.count("*").alias("kinds"))
-    of = place.join(stays, "component").select("line", "stays")
-    gone = lines.select("line", "doc_id", "number").join(of, "line").where(F.struct("doc_id", "number") != F.col("stays"))
-    return materialize(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("number")).alias("removed")), "removed")
+    lines = materialize(_keyed(docs).mapInArrow(_lines_of, LINES), "lines")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        first = lines.select("line", "doc_id", "print", "number").join(wanted, "line", "left_semi").groupBy("line").agg(F.min(F.struct("doc_id", "print", "number")).alias("first"))
+        by_row = first.select("line", "first.*").groupBy("doc_id", "print").agg(F.collect_list(F.struct("line", "number")).alias("wanted"))
+        whole = _keyed(docs).join(by_row.hint("shuffle_hash"), ["doc_id", "print"])
+        return whole.select("text", "wanted").mapInArrow(_wanted_texts, "line long, normal string").dropDuplicates(["line"])
+
+    return lines, similar(lines.where("bands is not null").select("line", "bands"), texts_of, shingle_sets)
+
+
+def removals(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """Return (doc_id, print, removed): the numbers of the lines that go, of rows that lose any; and whether rows are repeated."""
+    lines, found = line_components(docs)
+    place = F.struct("doc_id", "print", "number")
+    kinds = lines.groupBy("line").agg(F.min(place).alias("first"), (F.count("*") > 1).alias("again"))
+    several = kinds.join(found.withColumnRenamed("id", "line"), "line", "left").where("again or component is not null").withColumn("component", F.coalesce("component", "line"))
+    several = materialize(several.select("line", "component", "first"), "several")
+    stays = several.groupBy("component").agg(F.min("first").alias("stays"))
+    gone = lines.select("line", "doc_id", "print", "number").join(several.join(stays, "component").select("line", "stays"), "line").where(place != F.col("stays"))
+    heads = lines.where("head").groupBy("doc_id", "print").count().where("count > 1")
+    return materialize(gone.groupBy("doc_id", "print").agg(F.sort_array(F.collect_set("number")).alias("removed")), "removed"), not heads.isEmpty()
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _full_lines(text: pa.Array) -> pa.Array:
+    """Numbers of the lines of each text that have characters."""
+    return pa.array([None if t is None else [k for k, x in enumerate(normal_lines(t)) if x] for t in text.to_pylist()], pa.list_(pa.int32()))
+
+
+def _without(text, numbers):
+    """Column: the text without the lines of these numbers."""
+    both = F.array(F.struct(F.split(text, "\n", -1).alias("lines"), numbers.alias("gone")))
+    left = F.transform(both, lambda s: F.transform(F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), s["gone"]), lambda k: F.get(s["lines"], k)))
+    return F.when(numbers.isNull(), text).otherwise(F.array_join(left[0], "\n"))
 
 
 def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
     """Return ``docs`` with repeated and near-repeated lines taken out of ``text``.
 
-    Of every component of lines at Jaccard similarity LEAST or more (over character
-    shingles of the normalised line, linked transitively) the first by doc_id and line
-    number stays. Lines without characters are never repeats. ``n_chars``, if there,
+    Of every component of lines at Jaccard similarity 0.8 or more (over character
+    shingles of the normalised line, linked transitively) the first stays, by doc_id,
+    hash of the text, and line number. Rows that share a doc_id are told apart by their
+    texts; of rows that share both, the copies after the first lose every line that has
+    characters. Lines without characters are never repeats. ``n_chars``, if there,
     follows the text. With ``counts``, columns n_lines and n_removed follow. A null
-    text stays null; a document may become empty. Rows with a null doc_id are left
-    alone; rows that share a doc_id share its removals. An empty table stays empty.
-    Other columns are kept as they are.
+    text stays null; a document may become empty. Texts and lines of any length are
+    compared whole. Rows with a null doc_id are left alone. An empty table stays empty.
+    Other columns are kept as they are, whatever their names.
     """
-    gone = removals(docs).select(F.col("doc_id").alias("_id"), "removed")
-    joined = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_id"), "left").select(*docs.columns, "removed")
-    columns = docs.columns
-    fields = list(docs.schema.fields) + ([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())] if counts else [])
-
-    def cut(batches):
-        for batch in batches:
-            own = {c: batch.column(c) for c in columns}
-            texts, removed = own["text"].to_pylist(), batch.column("removed").to_pylist()
-            n = []
-            for i, (text, out) in enumerate(zip(texts, removed, strict=True)):
-                split = text.split("\n") if text is not None else []
-                n.append((len(split), len(out or ())))
-                if out:
-                    out = set(out)
-                    texts[i] = "\n".join(x for k, x in enumerate(split) if k not in out)
-            own["text"] = pa.array(texts, pa.string())
-            if "n_chars" in own:
-                own["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(own["n_chars"].type)
-            if counts:
-                own["n_lines"], own["n_removed"] = (pa.array(x, pa.int64()) for x in (zip(*n, strict=True) if n else ((), ())))
-            yield pa.record_batch(own)
-
-    return joined.mapInArrow(cut, T.StructType(fields))
+    found, repeated = removals(docs)
+    key, mark, numbers, copy, had = unused(docs.columns, "id", "print", "removed", "copy", "had")
+    gone = found.select(F.col("doc_id").alias(key), F.col("print").alias(mark), F.col("removed").alias(numbers))
+    print_ = F.xxhash64("text")
+    out = docs.join(gone.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col(key)) & (print_ == F.col(mark)), "left").drop(key, mark)
+    if repeated:
+        same = W.partitionBy("doc_id", print_).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+        out = out.withColumn(copy, F.row_number().over(same))
+        out = out.withColumn(numbers, F.when((F.col(copy) > 1) & F.col("doc_id").isNotNull(), _full_lines("text")).otherwise(F.col(numbers))).drop(copy)
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n")))
+    out = out.withColumns({had: F.when(F.col("text").isNull(), 0).otherwise(breaks + 1).cast("long"), "text": _without(F.col("text"), F.col(numbers))})
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    extra = [F.col(had).alias("n_lines"), F.when(F.col(numbers).isNull(), 0).otherwise(F.size(numbers)).cast("long").alias("n_removed")] if counts else []
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *extra)
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
