@@ -38,11 +38,13 @@ def floor_asof(df: DataFrame, date: str, calendar: DataFrame, keep: tuple[str, .
     on the date does; it is broadcast, as it has a row a calendar day, whatever the
     number of articles.
     """
-    end = df.agg(F.max(date)).first()[0]
     following = F.lead("td").over(W.orderBy("td"))
-    until = F.coalesce(F.date_sub(following, 1), F.greatest(F.col("td"), F.lit(end).cast("date")))
+    until = F.coalesce(F.date_sub(following, 1), F.col("td"))
     dense = calendar.withColumn("_until", until).select("td", *keep, F.explode(F.sequence("td", "_until")).alias("_day"))
-    return df.join(F.broadcast(dense), df[date] == dense["_day"], "left").drop("_day")
+    last = calendar.agg(F.max(F.struct("td", *keep)).alias("_last"))
+    joined = df.join(F.broadcast(dense), df[date] == dense["_day"], "left").crossJoin(F.broadcast(last))  # one row
+    beyond = F.col("_day").isNull() & (df[date] > F.col("_last.td"))
+    return joined.withColumns({c: F.when(beyond, F.col(f"_last.{c}")).otherwise(F.col(c)) for c in ("td", *keep)}).drop("_day", "_last")
 
 
 def attach_news_day(articles: DataFrame, calendar: DataFrame, date: str = "local_date") -> DataFrame:
