@@ -207,3 +207,13 @@ def dedup_phrases(docs: DataFrame) -> DataFrame:
 def op8_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that repeat earlier documents; contract of op8."""
     return dedup_phrases(documents(spark, sf_dir))
+
+
+#: The same by joining every window; whole tables of some thousand documents are no trouble.
+ORACLE_SQL = f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+ s AS (SELECT doc_id, i, array_to_string(w[i : i + {WINDOW - 1}], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {WINDOW - 1})) AS i FROM d)),
+ f AS (SELECT k, min(doc_id) AS first FROM s GROUP BY k),
+ g AS (SELECT DISTINCT doc_id, i + o AS p FROM s JOIN f USING (k), generate_series(0, {WINDOW - 1}) t(o) WHERE first < doc_id),
+ x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+ r AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM x ANTI JOIN g USING (doc_id, p) GROUP BY doc_id)
+ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)"""

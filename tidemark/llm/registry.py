@@ -16,4 +16,4 @@ QUERIES = {
     "op9_media": webp.op9_media,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLES: dict[str, str] = {"op2_licences": licences.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_licences": licences.ORACLE_SQL, "op8_phrases": phrases.ORACLE_SQL}
