@@ -18,6 +18,8 @@ def query(sql: str | None = None):
     """Register a function under its name; ``sql`` gives the same rows in DuckDB."""
 
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql

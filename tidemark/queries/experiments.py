@@ -52,7 +52,7 @@ def feature_importance(spark, d):
 
 
 @query()
-def drift_auc(spark, d):
+def drift_model_auc(spark, d):
     """How well a model tells training days from test days by their features."""
     p = panel(spark, d).where("split <> 'val'")
     return spark.createDataFrame([(V.drift_auc(p, SETS["C"], F.col("split") == "train", "date"),)], "auc double")
