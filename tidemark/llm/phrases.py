@@ -15,8 +15,8 @@ from .windows import WINDOW_ROWS, recurring, run_rows, window_rows
 
 #: Words of a window and of the k-gram that files it.
 WINDOW, GRAM = 50, 25
-#: Words of the patterns of one automaton, and of those that a block of documents may need.
-PATTERN_WORDS, BLOCK_WORDS = 200_000, 1_000_000
+#: Words of the patterns of one automaton, and of those that a block of documents may need: one automaton a block, as a rule.
+PATTERN_WORDS, BLOCK_WORDS = 600_000, 400_000
 _WORDS = re.compile(WORD)
 
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
