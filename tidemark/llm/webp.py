@@ -430,6 +430,12 @@ def _write_pixels(w: BitWriter, pixels: np.ndarray, main: bool) -> None:
     copies = []
     for c, length, back in _copies(flat):
         copies.append((c, length, _prefixed(length), _prefixed({1: 2, width: 1}.get(back, back + 120))))
+    # codes of equal lengths have a power of two symbols: at most 32 of the 40 distances, and 256 of the 280 greens and lengths
+    often = np.bincount([back[0] for *_, back in copies], minlength=40).argsort(kind="stable")[::-1][:32]
+    copies = [c for c in copies if c[3][0] in often]
+    greens = np.bincount(_planes(flat)[:, 1], minlength=256) > 0
+    if greens.sum() + len({size[0] for _, _, size, _ in copies}) > 256:
+        copies = []
     literal = np.ones(len(flat), bool)
     for c, length, *_ in copies:
         literal[c : c + length] = False
@@ -438,7 +444,7 @@ def _write_pixels(w: BitWriter, pixels: np.ndarray, main: bool) -> None:
     for channel, symbols in ((1, 280), (2, 256), (0, 256), (3, 256)):
         used = np.bincount(planes[:, channel], minlength=symbols) > 0
         if channel == 1:
-            used[[256 + length[0] for _, _, length, _ in copies]] = True
+            used[[256 + size[0] for _, _, size, _ in copies]] = True
         codes.append(Uniform(used))
         codes[-1].write(w)
     far = np.zeros(40, bool)
