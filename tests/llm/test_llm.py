@@ -584,6 +584,14 @@ def test_webp_features():
     for colours in (2, 4, 11, 40):
         own = r.integers(0, 2**32, colours).astype(np.uint32)[r.integers(0, colours, (9, 21))]
         assert (webp.decode(rich(own, palette=True)) == own).all()
+    for own in (r.integers(0, 2**32, (90, 144)).astype(np.uint32), r.integers(0, 2**32, 16).astype(np.uint32)[r.integers(0, 16, (90, 144))]):
+        own[60:] = own[:30]  # every green is used, and copies would need more symbols than there are
+        assert (webp.decode(webp.encode(own)) == own).all()
+    far = r.integers(0, 2**16, 300_000).astype(np.uint32)
+    for k in range(4, 36):  # copies from more distances than a code of equal lengths has
+        at = 2 ** (k // 2) * (2 + k % 2) + 10
+        far[290_000 - k * 40 : 290_020 - k * 40] = far[290_000 - k * 40 - at : 290_020 - k * 40 - at]
+    assert (webp.decode(webp.encode(far.reshape(300, 1000))) == far.reshape(300, 1000)).all()
     noise = r.integers(0, 2**32, (7, 144)).astype(np.uint32)
     assert (webp.decode(webp.encode(noise)) == noise).all()
     with pytest.raises(ValueError):
