@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, flat, materialize, words_of
+from .common import WORD, documents, drop_table, flat, materialize, words_of
 from .windows import WINDOW_ROWS, recurring, run_rows, window_rows
 
 #: Words of a window and of the k-gram that files it.
@@ -64,7 +64,10 @@ def passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text")
     texts = whole.join(asked.hint("shuffle_hash"), ["doc_id", "key"]).select("text", "wanted").mapInArrow(_phrases_of, _PHRASES).dropDuplicates(["anchor", "kind"])
     may = live.join(settled.select("anchor", "kind", "lowest", F.col("parts").isNotNull().alias("partly")), ["anchor", "kind"]).where("doc_id > lowest or partly")
-    return may.select("doc_id", "key", "anchor", "kind"), texts
+    may = materialize(may.select("doc_id", "key", "anchor", "kind"), "may")
+    for table in (live, kinds, looked):
+        drop_table(table)
+    return may, texts
 
 
 _PHRASES = "anchor long, kind long, phrases array<struct<words:string,before:long>>"
