@@ -47,25 +47,33 @@ def ridge(train: DataFrame, columns: list[str], label: str, alpha: float):
 
 
 def logistic(train: DataFrame, columns: list[str], label: str, c: float):
-    """Multinomial logistic regression with balanced class weights; labels in the order of CLASSES."""
-    scaler = Scaler(train, columns)
-    code = F.lit(None).cast("double")
-    for i, name in enumerate(CLASSES):
-        code = F.when(F.col(label) == name, float(i)).otherwise(code)
-    n = train.count()
+    """Multinomial logistic regression with balanced class weights; returns (scaler, model, classes).
+
+    ``classes`` are those of CLASSES that training rows have, in that order: a quiet
+    series may lack some. Of one class alone, or none, there is no model. Rows without
+    a class are not fitted.
+    """
+    train = train.where(F.col(label).isin(*CLASSES))
     counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count("*").alias("n")).collect()}  # three classes
-    weight = F.lit(0.0)
-    for name, k in counts.items():
-        weight = F.when(F.col(label) == name, n / (len(counts) * k)).otherwise(weight)
+    classes = [name for name in CLASSES if name in counts]
+    if len(classes) < 2:
+        return None, None, classes
+    scaler, n = Scaler(train, columns), sum(counts.values())
+    code, weight = F.lit(None).cast("double"), F.lit(0.0)
+    for i, name in enumerate(classes):
+        code = F.when(F.col(label) == name, float(i)).otherwise(code)
+        weight = F.when(F.col(label) == name, n / (len(classes) * counts[name])).otherwise(weight)
     rows = scaler.transform(train).withColumns({"_y": code, "_w": weight})
-    return scaler, LogisticRegression(labelCol="_y", weightCol="_w", family="multinomial", standardization=False, regParam=1 / (c * n), maxIter=200, tol=1e-9).fit(rows)
+    return scaler, LogisticRegression(labelCol="_y", weightCol="_w", family="multinomial", standardization=False, regParam=1 / (c * n), maxIter=200, tol=1e-9).fit(rows), classes
 
 
 def probabilities(fitted, rows: DataFrame) -> DataFrame:
-    """Rows with p_DOWN, p_FLAT and p_UP."""
-    scaler, model = fitted
+    """Rows with p_DOWN, p_FLAT and p_UP: 0 for a class that was not fitted, null if none was."""
+    scaler, model, classes = fitted
+    if model is None:
+        return rows.withColumns({f"p_{c}": F.lit(float(c in classes) if classes else None).cast("double") for c in CLASSES})
     p = vector_to_array("probability")
-    return model.transform(scaler.transform(rows)).withColumns({f"p_{c}": p[i] for i, c in enumerate(CLASSES)})
+    return model.transform(scaler.transform(rows)).withColumns({f"p_{c}": p[classes.index(c)] if c in classes else F.lit(0.0) for c in CLASSES})
 
 
 def grid_search(kinds: dict[str, object], score) -> tuple[str, dict[str, float]]:
