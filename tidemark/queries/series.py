@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import dates as D
 from ..sources import articles as A
 from ..sources import series as S
 from .base import prices, query, r6, table
@@ -32,11 +32,14 @@ def sheet_scan(spark, d):
 
 @query("SELECT o_orderpriority AS ticker, CAST(o_orderdate AS DATE) AS date, arg_max(round(o_totalprice, 2), o_orderkey) AS value FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1, 2")
 def chart_scan(spark, d):
-    """Orders as chart payloads: parallel arrays of times and closes, some of them null."""
+    """Orders as chart payloads, one a ticker and month: parallel arrays of times and closes in order of keys, some of them null."""
     o = table(spark, d, "orders")
-    base = D.epoch(F.col("o_orderdate"))
-    o = o.select("o_orderpriority", "o_orderkey", (F.floor(base / 86400) * 86400 - 7 * 3600 + F.pmod("o_orderkey", F.lit(80000))).alias("t"), F.when(F.col("o_orderkey") % 5 != 0, F.round("o_totalprice", 2)).alias("c"))
-    own = o.groupBy(F.col("o_orderpriority").alias("ticker")).agg(F.array_sort(F.collect_list(F.struct("t", "o_orderkey", "c"))).alias("p"))
+    day = F.to_date("o_orderdate")
+    # seconds of a day follow the keys; a fuller day's last ones share its last second, where the place in the payload tells
+    second = F.least(F.row_number().over(W.partitionBy("o_orderpriority", day).orderBy("o_orderkey")) - 1, F.lit(86_399))
+    t = F.unix_date(day).cast("long") * 86_400 - 7 * 3600 + second
+    o = o.select("o_orderpriority", "o_orderkey", F.trunc(day, "month").alias("month"), t.alias("t"), F.when(F.col("o_orderkey") % 5 != 0, F.round("o_totalprice", 2)).alias("c"))
+    own = o.groupBy(F.col("o_orderpriority").alias("ticker"), "month").agg(F.array_sort(F.collect_list(F.struct("t", "o_orderkey", "c"))).alias("p"))
     chart = F.struct(F.array(F.struct(F.transform("p", lambda x: x["t"]).alias("timestamp"), F.struct(F.array(F.struct(F.transform("p", lambda x: x["c"]).alias("close"))).alias("quote")).alias("indicators"))).alias("result"))
     return S.parse_chart(own.select("ticker", F.to_json(F.struct(chart.alias("chart")), {"ignoreNullFields": "false"}).alias("payload")))
 

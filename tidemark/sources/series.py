@@ -29,11 +29,11 @@ def parse_sheet(cells: DataFrame, date_title: str = "tanggal", rate_title: str =
 
 
 def parse_chart(payloads: DataFrame, zone: str = "Asia/Jakarta", column: str = "payload") -> DataFrame:
-    """(ticker, date, value): last close of each local date of landed chart payloads; nulls go."""
+    """(ticker, date, value): last close of each local date of landed chart payloads, of equal times the later in its payload; nulls go."""
     r = F.from_json(column, CHART_JSON)["chart"]["result"][0]
-    points = payloads.select("ticker", F.inline(F.arrays_zip(r["timestamp"].alias("ts"), r["indicators"]["quote"][0]["close"].alias("close"))))
-    dated = points.where("close IS NOT NULL").withColumn("date", D.epoch_local_date(F.col("ts"), zone))
-    return dated.groupBy("ticker", "date").agg(F.max_by("close", "ts").alias("value"))
+    points = payloads.select("ticker", F.posexplode(F.arrays_zip(r["timestamp"].alias("ts"), r["indicators"]["quote"][0]["close"].alias("close"))).alias("at", "point"))
+    dated = points.select("ticker", "at", "point.ts", "point.close").where("close IS NOT NULL").withColumn("date", D.epoch_local_date(F.col("ts"), zone))
+    return dated.groupBy("ticker", "date").agg(F.max(F.struct("ts", "at", "close"))["close"].alias("value"))
 
 
 def read_splits(spark, paths: dict[str, str], schema: str) -> DataFrame:
