@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .dedup import cut
 from .evaluation import CLASSES
+from .pairs import Pairs, information
 
 
 def majority(train: DataFrame, label: str) -> DataFrame:
@@ -273,17 +274,9 @@ def tfidf(df: DataFrame, key: str, terms: Column, fit: Column, min_df: int = 2,
 def ppmi(df: DataFrame, key: str, terms: Column, min_count: int = 5, alpha: float = 0.75) -> DataFrame:
     """(w, c, pmi): positive pointwise mutual information of terms that share a row, contexts smoothed by ``alpha``.
 
-    A row is a short text: its distinct terms are paired within the row.
+    Pairs are counted in cells of a packed matrix, see :mod:`.pairs`.
     """
-    t = df.select(key, F.explode(F.array_distinct(terms)).alias("w"))
-    frequent = t.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
-    own = t.join(frequent, "w").select(key, "w").groupBy(key).agg(F.collect_list("w").alias("ws"))
-    pairs = own.select(F.explode("ws").alias("w"), "ws").select("w", F.explode("ws").alias("c")).where("w <> c").groupBy("w", "c").agg(F.count("*").alias("n"))
-    rows = pairs.groupBy("w").agg(F.sum("n").alias("nw"))
-    total = rows.agg(F.sum("nw").alias("t"), F.sum(F.pow(F.col("nw").cast("double"), F.lit(alpha))).alias("ta"))
-    joined = pairs.join(rows, "w").join(rows.select(F.col("w").alias("c"), F.col("nw").alias("nc")), "c").crossJoin(F.broadcast(total))  # one row of totals
-    pmi = F.ln((F.col("n") / F.col("t")) / ((F.col("nw") / F.col("t")) * (F.pow(F.col("nc").cast("double"), F.lit(alpha)) / F.col("ta"))))
-    return joined.select("w", "c", pmi.alias("pmi")).where("pmi > 0")
+    return information(Pairs(df, key, terms, min_count, alpha))
 
 
 def word_vectors(pmi: DataFrame, width: int, iterations: int = 20) -> DataFrame:
