@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .dedup import cut
 from .evaluation import CLASSES
-from .pairs import Pairs, information
+from .pairs import Pairs, information, leading
 
 
 def majority(train: DataFrame, label: str) -> DataFrame:
@@ -279,29 +278,9 @@ def ppmi(df: DataFrame, key: str, terms: Column, min_count: int = 5, alpha: floa
     return information(Pairs(df, key, terms, min_count, alpha))
 
 
-def word_vectors(pmi: DataFrame, width: int, iterations: int = 20) -> DataFrame:
-    """(w, vector): unit vectors U * sqrt(S) of the symmetric part of a sparse matrix (w, c, pmi), by subspace iteration.
-
-    The matrix stays a table: a round multiplies it with ``width`` columns, a row a word,
-    and only width x width sums come to the driver, to keep the columns orthogonal.
-    """
-    both = pmi.select("w", "c", "pmi").union(pmi.select(F.col("c").alias("w"), F.col("w").alias("c"), "pmi")).groupBy("w", "c").agg((F.sum("pmi") / 2).alias("pmi")).persist()
-    unit = lambda word, k: F.pmod(F.xxhash64(word, F.lit(k)), F.lit(1_000_003)) / 1_000_003.0 - 0.5
-    x = both.select("w").distinct().select("w", F.array(*[unit(F.col("w"), k) for k in range(width)]).alias("x"))
-    values = np.ones(width)
-    for _ in range(iterations):
-        y = both.join(x.withColumnRenamed("w", "c"), "c").groupBy("w").agg(*[F.sum(F.col("pmi") * F.col("x")[k]).alias(f"y{k}") for k in range(width)]).persist()
-        gram = y.agg(*[F.sum(F.col(f"y{i}") * F.col(f"y{j}")).alias(f"g{i}_{j}") for i in range(width) for j in range(i, width)]).first()
-        g = np.array([[gram[f"g{min(i, j)}_{max(i, j)}"] for j in range(width)] for i in range(width)])
-        s, u = np.linalg.eigh(g)
-        s, u = np.maximum(s[::-1], 1e-12), u[:, ::-1]
-        values, turn = np.sqrt(s), u / np.sqrt(s)
-        turn = turn * np.where(turn[np.abs(turn).argmax(0), np.arange(width)] < 0, -1, 1)
-        columns = [sum((F.col(f"y{i}") * float(turn[i, k]) for i in range(1, width)), F.col("y0") * float(turn[0, k])) for k in range(width)]
-        x = cut(y.select("w", F.array(*columns).alias("x")))
-        y.unpersist()
-    scaled = x.select("w", F.array(*[F.col("x")[k] * float(values[k] ** 0.5) for k in range(width)]).alias("x"))
-    return scaled.select("w", l2_norm(F.col("x")).alias("vector"))
+def word_vectors(df: DataFrame, key: str, terms: Column, width: int, min_count: int = 5, alpha: float = 0.75, iterations: int = 20) -> DataFrame:
+    """(w, vector): unit vectors U * sqrt(S) of the symmetric part of :func:`ppmi`'s sparse matrix, by subspace iteration."""
+    return leading(Pairs(df, key, terms, min_count, alpha), width, iterations).select("w", l2_norm(F.col("x")).alias("vector"))
 
 
 def fit_sample(rows: DataFrame, most: int, seed: int, key: str) -> DataFrame:

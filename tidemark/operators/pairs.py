@@ -236,3 +236,118 @@ def information(pairs: Pairs) -> DataFrame:
 
     rows = pairs.at_cells(pairs.met(), pairs.placed("w", "n"))
     return rows.mapInArrow(mapped, "w string, c string, pmi double")
+
+
+def _halves(low_n: np.ndarray, high_n: np.ndarray, a: np.ndarray, b: np.ndarray, counts: np.ndarray, alpha: float, ta: float) -> np.ndarray:
+    """The mean over both orders of the positive pointwise mutual information of places (a, b)."""
+    with np.errstate(divide="ignore"):
+        one, two = np.log(low_n.astype(float)), np.log(high_n.astype(float))
+    joint = np.log(counts) + math.log(ta)
+    return (np.maximum(joint - one[a] - alpha * two[b], 0) + np.maximum(joint - two[b] - alpha * one[a], 0)) / 2
+
+
+def _kept(batches, side: int, alpha: float, ta: float):
+    """(cell, blob): one blob a cell, of the pairs with information in either order."""
+    for cell, low, high, places, counts in cells_of(batches, ["sums"]):
+        if len(places):
+            low_n, high_n = (np.frombuffer(x[0].as_py(), np.int64) for x in (low, high))
+            own = _halves(low_n, high_n, places // side, places % side, counts, alpha, ta) > 0
+            yield pa.record_batch([pa.array([cell], pa.int32()), pa.array([packed(places[own], counts[own])], pa.binary())], ["cell", "blob"])
+
+
+_BLOCK = "block int, sums binary, y binary"
+
+
+def _started(batches, side: int):
+    """Blocks as dense arrays by place, from lists of (place, n, x)."""
+    for batch in batches:
+        for block, own in zip(batch.column("block").to_pylist(), batch.column("own"), strict=True):
+            own = own.values
+            place, x = own.field("place").to_numpy(), np.stack(own.field("x").to_numpy(zero_copy_only=False))
+            n, y = np.zeros(side, np.int64), np.zeros((x.shape[1], side))
+            n[place] = own.field("n").to_numpy()
+            y[:, place] = x.T
+            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([n.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["block", "sums", "y"])
+
+
+def _multiplied(batches, blocks: int, side: int, alpha: float, ta: float, turn: np.ndarray):
+    """Each cell's share of the product of the matrix and the blocks' columns, turned; one more row counts a term's entries."""
+    width = len(turn)
+    for cell, low, high, places, counts in cells_of(batches, ["sums", "y"]):
+        low_n, high_n = (np.frombuffer(x[0].as_py(), np.int64) for x in (low, high))
+        one, two = (turn.T @ np.frombuffer(x[1].as_py(), float).reshape(-1, side)[:width] for x in (low, high))
+        up, down = np.zeros((width + 1, side)), np.zeros((width + 1, side))
+        if len(places):
+            a, b = places // side, places % side
+            v = _halves(low_n, high_n, a, b, counts, alpha, ta)
+            first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+            heads, each = a[first], np.diff(np.append(first, len(a)))
+            for k in range(width):
+                up[k, heads] = np.add.reduceat(v * two[k][b], first)
+                down[k] = np.bincount(b, v * np.repeat(one[k][heads], each), side)
+            up[width, heads], down[width] = each, np.bincount(b, minlength=side)
+        i, j = divmod(cell, blocks)
+        shares = [(i, up + down, low[0].as_py())] if i == j else [(i, up, None), (j, down, None)]
+        yield pa.record_batch([pa.array([x[0] for x in shares], pa.int32()), pa.array([x[2] for x in shares], pa.binary()), pa.array([x[1].tobytes() for x in shares], pa.binary())], ["block", "sums", "y"])
+
+
+def _gathered(batches, side: int, width: int):
+    """Sums of the shares of each block, over rows sorted by block, and the products of their columns."""
+    at, sums, y = None, None, None
+
+    def whole():
+        x = y.reshape(-1, side)[:width]
+        return pa.record_batch([pa.array([at], pa.int32()), pa.array([sums], pa.binary()), pa.array([y.tobytes()], pa.binary()), pa.array([(x @ x.T).ravel().tolist()], pa.list_(pa.float64()))], ["block", "sums", "y", "gram"])
+
+    for batch in batches:
+        columns = [batch.column(c) for c in ("block", "sums", "y")]
+        for i, block in enumerate(columns[0].to_pylist()):
+            if block != at:
+                if at is not None:
+                    yield whole()
+                at, sums, y = block, None, 0.0
+            sums = columns[1][i].as_py() or sums
+            y = y + np.frombuffer(columns[2][i].as_py(), float)
+    if at is not None:
+        yield whole()
+
+
+def leading(pairs: Pairs, width: int, iterations: int) -> DataFrame:
+    """(w, x): U * sqrt(S) of the symmetric part of the terms' positive mutual information, by subspace iteration; terms without any are left out.
+
+    The matrix stays packed in cells. A round hands each cell the columns of its two
+    blocks and adds its shares up by block; only ``width`` x ``width`` sums of each block
+    come to the driver, to keep the columns orthogonal.
+    """
+    blocks, side, alpha, ta = pairs.blocks, pairs.side, pairs.alpha, pairs.ta
+    unit = lambda k: F.pmod(F.xxhash64("w", F.lit(k)), F.lit(1_000_003)) / 1_000_003.0 - 0.5
+    start = pairs.placed("n", F.array(*[unit(k) for k in range(width)]).alias("x"))
+    y = written(start.mapInArrow(lambda b: _started(b, side), _BLOCK), "columns")
+    cells = written(pairs.at_cells(pairs.met(), y.select("block", "sums")).mapInArrow(lambda b: _kept(b, side, alpha, ta), "cell int, blob binary"), "cells")
+    values, turn = np.ones(width), np.eye(width)
+    for _ in range(iterations):
+        # the default holds this round's turn
+        shares = pairs.at_cells(cells, y).mapInArrow(lambda b, turn=turn: _multiplied(b, blocks, side, alpha, ta, turn), _BLOCK)
+        before, summed_ = y, shares.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: _gathered(b, side, width), f"{_BLOCK}, gram array<double>")
+        y = written(summed_, "columns")
+        grams = [r["gram"] for r in y.select("block", "gram").orderBy("block").collect()]  # width x width numbers a block
+        y = y.drop("gram")
+        removed(before)
+        g = np.sum(grams, axis=0).reshape(width, width) if grams else np.zeros((width, width))
+        s, u = np.linalg.eigh(g)
+        s, u = np.maximum(s[::-1], 1e-12), u[:, ::-1]
+        values, turn = np.sqrt(s), u / np.sqrt(s)
+        turn = turn * np.where(turn[np.abs(turn).argmax(0), np.arange(width)] < 0, -1, 1)
+    removed(cells)
+
+    def rows(batches):
+        for batch in batches:
+            for block, own in zip(batch.column("block").to_pylist(), batch.column("y"), strict=True):
+                own = np.frombuffer(own.as_py(), float).reshape(-1, side)
+                x = (own[:width].T @ turn) * np.sqrt(values)
+                used = np.flatnonzero(own[width] > 0) if len(own) > width else np.arange(side)
+                for k in range(0, len(used), ROWS):
+                    at = used[k : k + ROWS]
+                    yield pa.record_batch([pa.array(at * blocks + block), pa.array(list(x[at]), pa.list_(pa.float64()))], ["id", "x"])
+
+    return y.mapInArrow(rows, "id long, x array<double>").join(pairs.words, "id").select("w", "x")

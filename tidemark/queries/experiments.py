@@ -61,7 +61,7 @@ def drift_model_auc(spark, d):
 @query()
 def word_vectors(spark, d):
     """Unit vectors of words from the leading eigenvectors of their mutual information."""
-    return M.word_vectors(M.ppmi(talk(spark, d), "id", F.col("w"), 8), 8)
+    return M.word_vectors(talk(spark, d), "id", F.col("w"), 8, 8)
 
 
 @query()
