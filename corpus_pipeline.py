@@ -39,6 +39,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group at similarity 0.8 or more: the one with the smallest id, nulls last, and least hashed text.
 
+    Documents meet by anchors of their SimHash fingerprints, and by MinHash bands where
+    fingerprints differ too much for that, and are then compared exactly.
     Null and empty texts are one group. Of repeated rows one stays; rows that share an
     id but not a text are documents of their own. Whole texts are compared, however
     long. Columns of any names are kept; an empty table stays empty.

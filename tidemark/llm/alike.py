@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,7 +92,7 @@ def _packed(buckets: int):
         for batch in batches:
             own = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint64)
             keys.append(own)
-            lines.append(np.repeat(batch.column("line").to_numpy().view(np.uint64), len(own) // max(batch.num_rows, 1)))
+            lines.append(np.repeat(batch.column("line").to_numpy().view(np.uint64), pc.binary_length(batch.column("bands")).to_numpy() // 8))
             n += len(own)
             if n >= SORTED:
                 yield from flushed(keys, lines)

@@ -1,4 +1,4 @@
-"""Near copies of documents: five-word shingles at exact Jaccard similarity of LEAST, candidates by MinHash bands."""
+"""Near copies of documents: five-word shingles at exact Jaccard similarity of LEAST, candidates by anchors of SimHash fingerprints and by MinHash bands."""
 
 from __future__ import annotations
 
@@ -9,24 +9,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .alike import band_keys, minima, similar, sorted_sets
-from .common import flat, materialize
-from .simhash import shingle_hashes, words_of_lower
+from .common import flat, materialize, mix64
+from .simhash import anchors, majority, shingle_hashes, words_of_lower
 
 #: Words of a shingle.
 SHINGLE_WORDS = 5
 #: Rows and bands of the signature, whose minima come from as many hashes: a pair at similarity 0.8 shares no band once in 10 billion.
 ROWS, BANDS = 3, 32
 _BASE, _SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+#: Tells keys of anchors from those of bands.
+_ANCHOR = np.uint64(0x5349_4D48_4153_4821)
 
 
 def _sketched(batches):
     for batch in batches:
         hashes, offsets = flat(batch.column("_hashes"), np.int64)
         hashes = hashes.view(np.uint64)
-        kind = [xxhash.xxh3_64_intdigest(np.unique(hashes[a:b]).tobytes()) - (1 << 63) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        sets = [np.unique(hashes[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        kind = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
+        hashes, offsets = np.concatenate([hashes[:0], *sets]), np.cumsum([0, *map(len, sets)])
         keys = band_keys(minima((hashes >> np.uint64(32)).astype(np.uint32), offsets, ROWS * BANDS), BANDS)
         bands = pa.array([k.tobytes() for k in keys], pa.binary())
-        yield pa.record_batch([batch.column("doc_id"), batch.column("print"), pa.array(kind, pa.int64()), bands], ["doc_id", "print", "line", "bands"])
+        fp = pa.array(majority(hashes, offsets).view(np.int64))
+        yield pa.record_batch([batch.column("doc_id"), batch.column("print"), pa.array(kind, pa.int64()), bands, fp], ["doc_id", "print", "line", "bands", "fp"])
+
+
+def anchored(batches):
+    """Over rows (line, bands, fp): the keys of the anchors within two bits of the fingerprint follow those of the bands."""
+    for batch in batches:
+        points, owners = anchors(batch.column("fp").to_numpy().view(np.uint64))
+        order = np.argsort(owners, kind="stable")
+        keys, ends = mix64(mix64(points[order]) ^ _ANCHOR), np.cumsum(np.bincount(owners, minlength=batch.num_rows)).tolist()
+        both = [own + keys[a:b].tobytes() for own, a, b in zip(batch.column("bands").to_pylist(), [0, *ends], ends, strict=False)]
+        yield pa.record_batch([batch.column("line"), pa.array(both, pa.binary())], ["line", "bands"])
 
 
 def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -59,19 +74,21 @@ def near_copies(docs: DataFrame) -> DataFrame:
     Documents whose sets of word shingles (ASCII lower case) have Jaccard similarity of
     0.8 or more are linked. The first of a group by doc_id, nulls last, and print
     ``stays``, and its doc_id is the group's component_id. Equal sets collapse first,
-    the empty one included, so null and empty texts are one group. Documents that share
-    a band are compared by :func:`.alike.similar`, whole texts and all pairs that are
-    not linked already. A SimHash of 64 bits can't give these candidates: at 0.8
-    fingerprints differ in about 10 bits and up to 20, and unlike ones in about 32 and
-    down to 16. Rows that share an id are told apart by their texts; repeated rows are
+    the empty one included, so null and empty texts are one group. Each set has a
+    SimHash fingerprint, which is covered by anchors as in op4, so that all sets within
+    two bits meet. That alone would miss most pairs: at 0.8 fingerprints of 64 bits
+    differ in about 10 bits and up to 20, and unlike ones in about 32 and down to 16.
+    So sets that share a MinHash band meet too. Documents that met are compared by
+    :func:`.alike.similar`, whole texts and all pairs that are not linked already.
+    Rows that share an id are told apart by their texts; repeated rows are
     kept. An empty table gives an empty result; other columns are ignored.
     """
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), words_of_lower().alias("_words"))
     hashed = words.select("doc_id", "print", shingle_hashes(SHINGLE_WORDS).alias("_hashes"))
-    sketched = materialize(hashed.mapInArrow(_sketched, "doc_id long, print long, line long, bands binary"), "sketched")
+    sketched = materialize(hashed.mapInArrow(_sketched, "doc_id long, print long, line long, bands binary, fp long"), "sketched")
     # one row of each kind stands for it; the least id, and of rows without an id the least print
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
-    kinds = materialize(sketched.groupBy("line").agg(F.min(place).alias("first"), F.max("bands").alias("bands")), "kinds")
+    kinds = materialize(sketched.groupBy("line").agg(F.min(place).alias("first"), F.max("bands").alias("bands"), F.max("fp").alias("fp")), "kinds")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         first = kinds.join(wanted, "line", "left_semi").select("line", F.col("first.doc_id").alias("id"), F.col("first.print").alias("print"))
@@ -79,7 +96,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
         found = whole.join(first.hint("shuffle_hash"), F.col("own").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("print")))
         return found.select("line", F.array_join(words_of_lower(), " ").alias("normal")).dropDuplicates(["line"])
 
-    found = similar(kinds.select("line", "bands"), texts_of, shingle_sets).select(F.col("id").alias("line"), "component")
+    met = kinds.select("line", "bands", "fp").mapInArrow(anchored, "line long, bands binary")
+    found = similar(met, texts_of, shingle_sets).select(F.col("id").alias("line"), "component")
     of = kinds.select("line", "first").join(found, "line", "left").withColumn("component", F.coalesce("component", "line"))
     least = of.groupBy("component").agg(F.min("first").alias("least"))
     named = of.join(least, "component").select("line", F.col("least.doc_id").alias("component_id"), F.col("least.print").alias("_print"))
