@@ -153,11 +153,12 @@ def removals(docs: DataFrame) -> tuple[DataFrame, bool]:
     """Return (doc_id, print, removed): the numbers of the lines that go, of rows that lose any; and whether rows are repeated."""
     lines, found = line_components(docs)
     place = F.struct("doc_id", "print", "number")
-    kinds = lines.groupBy("line").agg(F.min(place).alias("first"), (F.count("*") > 1).alias("again"))
-    several = kinds.join(found.withColumnRenamed("id", "line"), "line", "left").where("again or component is not null").withColumn("component", F.coalesce("component", "line"))
-    several = materialize(several.select("line", "component", "first"), "several")
-    stays = several.groupBy("component").agg(F.min("first").alias("stays"))
-    gone = lines.select("line", "doc_id", "print", "number").join(several.join(stays, "component").select("line", "stays"), "line").where(place != F.col("stays"))
+    # places are compared among lines that repeat only: a minimum of structs sorts its rows
+    again = lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line")
+    several = again.join(found.withColumnRenamed("id", "line"), "line", "full").select("line", F.coalesce("component", "line").alias("component"))
+    own = materialize(lines.select("line", "doc_id", "print", "number").join(several, "line").select("component", "doc_id", "print", "number"), "several")
+    stays = own.groupBy("component").agg(F.min(place).alias("stays"))
+    gone = own.join(stays, "component").where(place != F.col("stays"))
     heads = lines.where("head").groupBy("doc_id", "print").count().where("count > 1")
     return materialize(gone.groupBy("doc_id", "print").agg(F.sort_array(F.collect_set("number")).alias("removed")), "removed"), not heads.isEmpty()
 
