@@ -17,6 +17,8 @@ SHINGLE_WORDS = 5
 #: Rows and bands of the signature, whose minima come from as many hashes: a pair at similarity 0.8 shares no band once in 10 billion.
 ROWS, BANDS = 3, 32
 _BASE, _SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+#: Hashes whose fingerprints are taken at a time.
+PORTION = 1 << 15
 #: Tells keys of anchors from those of bands.
 _ANCHOR = np.uint64(0x5349_4D48_4153_4821)
 
@@ -25,12 +27,16 @@ def _sketched(batches):
     for batch in batches:
         hashes, offsets = flat(batch.column("_hashes"), np.int64)
         hashes = hashes.view(np.uint64)
-        sets = [np.unique(hashes[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        kind = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
-        hashes, offsets = np.concatenate([hashes[:0], *sets]), np.cumsum([0, *map(len, sets)])
+        kind, fp, a, n = [], [], 0, len(offsets) - 1
+        while a < n:  # few sets at a time, so that no second copy of the batch is held
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PORTION, "right")) - 1)
+            sets = [np.unique(hashes[x:y]) for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True)]
+            kind += [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
+            fp.append(majority(np.concatenate(sets), np.cumsum([0, *map(len, sets)])))
+            a = b
         keys = band_keys(minima((hashes >> np.uint64(32)).astype(np.uint32), offsets, ROWS * BANDS), BANDS)
         bands = pa.array([k.tobytes() for k in keys], pa.binary())
-        fp = pa.array(majority(hashes, offsets).view(np.int64))
+        fp = pa.array(np.concatenate([np.zeros(0, np.uint64), *fp]).view(np.int64))
         yield pa.record_batch([batch.column("doc_id"), batch.column("print"), pa.array(kind, pa.int64()), bands, fp], ["doc_id", "print", "line", "bands", "fp"])
 
 
