@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tidemark.llm import alike as A
 from tidemark.llm import copies as C
 from tidemark.llm import simhash as H
 
@@ -32,3 +33,20 @@ def test_near_copies_meet_by_anchors(spark):
     assert near >= 8
     stays = {x["doc_id"] for x in C.near_copies(df).where("stays").collect()}
     assert stays == {*range(12), 24, 25}
+
+
+def test_keys_take_one_worker(spark, monkeypatch):
+    """Anchors and bands are keyed and packed by one Python step: two in a task keep two workers on each core."""
+    plans = []
+    keep = A.materialize
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(df, name)
+
+    monkeypatch.setattr(A, "materialize", seen)
+    texts = ["a b c d e f", "a b c d e f", "g h i j k l m", "", None]
+    rows = C.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [x["component_id"] for x in rows] == [0, 0, 2, 3, 3]
+    (plan,) = [p for name, p in plans if name == "pairs"]
+    assert "MapInArrow" in plan and all(part.count("MapInArrow") <= 1 for part in plan.split("Exchange"))

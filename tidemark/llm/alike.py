@@ -71,8 +71,12 @@ def _link_batch(keys: np.ndarray, lines: np.ndarray, leaders: np.ndarray, bucket
     return pa.record_batch(columns, ["bucket", "packed", "key", "line", "leader"])
 
 
-def _packed(buckets: int):
-    """Over rows (line, bands): links to the first line of a key within the partition, and those first lines with their keys, packed by bucket of keys."""
+def _packed(buckets: int, keyed=None):
+    """Over rows (line, bands): links to the first line of a key within the partition, and those first lines with their keys, packed by bucket of keys.
+
+    ``keyed`` makes such rows of others first, in the same worker: a second Python step
+    in a task would keep a second worker on every core for the rest of the session.
+    """
 
     def flushed(keys: list, lines: list):
         keys, lines, first, leader = _led(np.concatenate(keys), np.concatenate(lines))
@@ -89,7 +93,7 @@ def _packed(buckets: int):
 
     def mapped(batches):
         keys, lines, n = [], [], 0
-        for batch in batches:
+        for batch in keyed(batches) if keyed else batches:
             own = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint64)
             keys.append(own)
             lines.append(np.repeat(batch.column("line").to_numpy().view(np.uint64), pc.binary_length(batch.column("bands")).to_numpy() // 8))
@@ -128,15 +132,15 @@ def _starred(batches):
         yield star(held).select(["key", "line", "leader"])
 
 
-def candidates(banded: DataFrame) -> DataFrame:
-    """From (line, bands), bands being packed 64-bit keys: (key, line, leader), each line of a key linked to one of them.
+def candidates(banded: DataFrame, keyed=None) -> DataFrame:
+    """From (line, bands), bands being packed 64-bit keys, or rows that ``keyed`` makes such: (key, line, leader), each line of a key linked to one of them.
 
     A line that is the first of its key in its partition stands for it in the exchange;
     the others are linked to it at once, so a common key sends one line a partition.
     Keys travel packed, as a row apiece would cost more than the work on it.
     """
     buckets = int(banded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = banded.mapInArrow(_packed(buckets), _LINKS).repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    dealt = banded.mapInArrow(_packed(buckets, keyed), _LINKS).repartition(F.col("bucket")).sortWithinPartitions("bucket")
     return materialize(dealt.mapInArrow(_starred, "key long, line long, leader long"), "pairs")
 
 
@@ -318,16 +322,18 @@ def _open_cells(members: DataFrame, part: DataFrame, sized: DataFrame) -> DataFr
     return row.select("key", "line", "part", F.inline(F.when(F.col("leads"), F.concat(led, apart)).otherwise(met)).alias("i", "j", "leads", "met")).select("key", "i", "j", "line", "part", "leads", "met")
 
 
-def similar(banded: DataFrame, texts_of, sets) -> DataFrame:
+def similar(banded: DataFrame, texts_of, sets, keyed=None) -> DataFrame:
     """Components (id, component) of the lines of ``banded`` (line, bands) that share a band key and are alike by their exact sets.
 
+    ``keyed`` turns batches of other rows into (line, bands), if ``banded`` has others.
+
     ``texts_of`` takes lines (line) and gives their texts (line, normal), from which
     ``sets`` makes sorted sets of hashes. Lines of a key are compared with one of them
     first, and components follow. Then, in keys whose lines still lie in several, every
     pair across components is settled, in cells of bounded size: none is given up, and
     only links are handed on, never the pairs compared.
     """
-    pending = candidates(banded)
+    pending = candidates(banded, keyed)
     members = materialize(pending.select("key", "line").union(pending.select("key", F.col("leader").alias("line"))).distinct(), "members")
     texts = materialize(texts_of(members.select("line").distinct()), "texts")
     sized = texts.select("line", F.length("normal").alias("chars"))

@@ -102,8 +102,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         found = whole.join(first.hint("shuffle_hash"), F.col("own").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("print")))
         return found.select("line", F.array_join(words_of_lower(), " ").alias("normal")).dropDuplicates(["line"])
 
-    met = kinds.select("line", "bands", "fp").mapInArrow(anchored, "line long, bands binary")
-    found = similar(met, texts_of, shingle_sets).select(F.col("id").alias("line"), "component")
+    found = similar(kinds.select("line", "bands", "fp"), texts_of, shingle_sets, anchored).select(F.col("id").alias("line"), "component")
     of = kinds.select("line", "first").join(found, "line", "left").withColumn("component", F.coalesce("component", "line"))
     least = of.groupBy("component").agg(F.min("first").alias("least"))
     named = of.join(least, "component").select("line", F.col("least.doc_id").alias("component_id"), F.col("least.print").alias("_print"))
