@@ -147,6 +147,20 @@ def test_word_tokenizer_equals_the_model():
         assert [list(a) for a in own.encode(odd)] == [b.ids for b in model.encode_batch(odd, add_special_tokens=False)]
 
 
+def test_words_before_marks_equal_the_model(monkeypatch):
+    """Letters before a run of marks are learned apart, and plain words without the model's folding; letters that fold to a mark are not cut from marks."""
+    from tokenizers import Tokenizer
+
+    own, model = packing.WordTokenizer(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
+    odd = ["\u0130. a\u0130, \u0958. \u0130%%%", "word%%% word!! Word?! ab_ '' a'. a'.. it's!! x<|startoftext|>.. end|> <|endoftext|> AB$$", "\xaa\xba. \xb5.. \xc7. \xff$$$ \xc9\xe9%%% \u0391\u03a3.. \u2126.", "a\u0301. a\u0338%% <\u0338 a<\u0338"]
+    assert [list(a) for a in own.encode(odd)] == [b.ids for b in model.encode_batch(odd, add_special_tokens=False)]
+    asked = []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda words: (asked.extend(words), learn(words)))
+    assert [list(a) for a in own.encode(["other%%% other!! other. Other,%%% more"])] == [model.encode("other%%% other!! other. Other,%%% more", add_special_tokens=False).ids]
+    assert "other" in asked and not [w for w in asked if len(w) > 5 or w.startswith("other") and w != "other"]
+
+
 def test_level_rule():
     p = packing.Packer(10)
     for n in (6, 6, 4, 3):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
+import string
+import unicodedata
 import zlib
 from itertools import repeat
 
@@ -20,6 +23,8 @@ REMEMBERED = 1_000_000
 #: Characters of documents tokenised together.
 CHUNK_CHARS = 1 << 22
 _MARK = "\x01"
+#: Marks that a run of, after letters, is a piece of its own; an apostrophe may begin a contraction.
+_ENDINGS = string.punctuation.replace("'", "")
 _tokenizers: dict[str, WordTokenizer] = {}
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -34,6 +39,16 @@ def _folded(text: str) -> str:
     return text if "<|" in text else text.lower()
 
 
+def _plain(word: str) -> bool:
+    """Lower-case letters of Latin-1: one piece, which the tokenizer's folding leaves as it is."""
+    return word.isalpha() and word.islower() and (word.isascii() or max(word) <= "\xff")
+
+
+def _letters(word: str) -> bool:
+    """Letters that stay letters when the tokenizer folds them: some give a mark of their own, which joins marks that follow."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 def _grown(a: np.ndarray, n: int) -> np.ndarray:
     return a if len(a) >= n else np.concatenate([a, np.zeros(max(n - len(a), len(a) // 2), a.dtype)])
 
@@ -47,10 +62,18 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
         self.mark = self._encode(_MARK)
+        # for plain words, of which folding and patterns would take half the time; it shares the vocabulary
+        self.letters = Tokenizer(self.model.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        with open(path, encoding="utf-8") as file:
+            suffix = json.load(file)["model"].get("end_of_word_suffix")
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self._empty()
 
     def _empty(self) -> None:
@@ -62,9 +85,20 @@ class WordTokenizer:
         return self.model.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if _MARK not in w]
-        joined = [plain[i : i + 500] for i in range(0, len(plain), 500)] if len(self.mark) == 1 else []
-        order, parts, lengths = [], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        order, parts, lengths, others = [], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], []
+        plain = [w for w in words if _plain(w) or others.append(w)]
+        joined = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        for own, got in zip(joined, self.letters.encode_batch_fast([" ".join(x) for x in joined], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) != len(own):  # a vocabulary that does not mark the ends of words
+                others += own
+                continue
+            order += own
+            lengths.append(np.diff(ends, prepend=-1))
+            parts.append(ids)
+        apart = [w for w in others if _MARK not in w]
+        joined = [apart[i : i + 500] for i in range(0, len(apart), 500)] if len(self.mark) == 1 else []
         for own, got in zip(joined, self.model.encode_batch_fast([f" {_MARK} ".join(x) for x in joined], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, np.uint32)
             ends = np.flatnonzero(ids == self.mark[0])
@@ -92,15 +126,18 @@ class WordTokenizer:
         self.used += len(ids)
 
     def _learn_all(self, words: set[str]) -> None:
-        """Words of letters before a full stop or comma are made of the two, which are tokens apart."""
-        ended = [w for w in words if w and w[-1] in ".," and w[:-1].isalpha()]
-        apart = {w[:-1] for w in ended}
-        if new := sorted((words.difference(ended) | apart | ({".", ","} if ended else set())).difference(self.place)):
+        """Words of letters before a run of marks are made of the two, which are pieces apart."""
+        ended, cores, marks = [], [], []
+        for word in words:
+            core = word.rstrip(_ENDINGS)
+            if len(core) < len(word) and _letters(core):
+                ended.append(word)
+                cores.append(core)
+                marks.append(word[len(core) :])
+        if new := list(words.difference(ended).union(cores, marks).difference(self.place)):
             self._learn(new)
         if ended:
-            core = np.fromiter((self.place[w[:-1]] for w in ended), np.int64, len(ended))
-            mark = np.fromiter((self.place[w[-1]] for w in ended), np.int64, len(ended))
-            pair = np.stack([core, mark], 1).ravel()
+            pair = np.fromiter((self.place[x] for both in zip(cores, marks, strict=True) for x in both), np.int64, 2 * len(ended))
             ids, ends = self._gather(pair)
             self._add(ended, np.diff(ends[1::2], prepend=0), ids)
 
