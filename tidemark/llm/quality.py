@@ -174,12 +174,13 @@ def quality_model(docs: DataFrame, labels: DataFrame):
         .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").cast("int").alias("quality"))
         .select(F.col("doc_id").cast("long"), token_ids().alias("ids"), "quality")
         .mapInArrow(featured, "doc_id long, x array<float>, quality int")
-        .toPandas()
-        .sort_values("doc_id")
+        .toArrow()  # no object for each row, as these stay with the driver's memory
     )
     network = Network(2 * WIDTH + 4)
-    if len(rows):
-        network.fit(np.stack(rows["x"].to_numpy()).astype(np.float64), rows["quality"].to_numpy().astype(np.float64))
+    if rows.num_rows:
+        order = np.argsort(rows.column("doc_id").to_numpy())
+        x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(order), -1)
+        network.fit(x[order].astype(np.float64), rows.column("quality").to_numpy()[order].astype(np.float64))
     else:
         network.w2[:] = 0
 
