@@ -24,9 +24,14 @@ SLICE = 1 << 15
 
 
 def minima(hashes: np.ndarray, offsets: np.ndarray, count: int) -> np.ndarray:
-    """Sets x ``count`` minima of 16 bits, each of an own hash of the 32-bit hashes; a set without any has zeros."""
+    """Sets x ``count`` minima of 16 bits, each of an own order of the 32-bit hashes; a set without any has zeros.
+
+    Least and greatest of a hash are first in two orders, which are used half of the
+    minima apart, so that no band has both.
+    """
     n = np.diff(offsets)
-    out = np.zeros((count, len(n)), np.uint16)
+    half = (count + 1) // 2
+    least = np.zeros((count, len(n)), np.uint32)
     step = mix64(np.arange(1000, 1000 + count, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
     flip = mix64(np.arange(1, 1 + count, dtype=np.uint64)).astype(np.uint32)
     a = 0
@@ -35,15 +40,18 @@ def minima(hashes: np.ndarray, offsets: np.ndarray, count: int) -> np.ndarray:
         own = np.flatnonzero(n[a:b]) + a
         if len(own):
             x, start = hashes[offsets[a] : offsets[b]], offsets[own] - offsets[a]
-            each = np.empty_like(x)
-            for k in range(count):
+            each, found = np.empty_like(x), np.empty((count, len(own)), np.uint32)
+            for k in range(half):
                 np.bitwise_xor(x, flip[k], out=each)
                 np.multiply(each, step[k], out=each)
-                least = np.minimum.reduceat(each, start)
-                # low bits too: those above are small in any large set
-                out[k, own] = (least ^ least >> np.uint32(15)).astype(np.uint16)
+                np.minimum.reduceat(each, start, out=found[k])
+                if k + half < count:
+                    np.maximum.reduceat(each, start, out=found[k + half])
+            np.invert(found[half:], out=found[half:])
+            least[:, own] = found
         a = b
-    return np.ascontiguousarray(out.T)
+    # low bits too: those above are small in any large set
+    return np.ascontiguousarray((least ^ least >> np.uint32(15)).astype(np.uint16).T)
 
 
 def band_keys(sign: np.ndarray, bands: int) -> np.ndarray:
@@ -163,8 +171,10 @@ def _star_links(flat, offsets, part, lead: int, met):
     n, own = np.diff(offsets), flat[offsets[lead] : offsets[lead + 1]]
     if not len(own):  # the empty set is like no other kind
         return []
-    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-    common = np.diff(np.concatenate(([0], np.cumsum(own[at] == flat)))[offsets])
+    ends = np.where(np.arange(len(offsets)) > lead, offsets - len(own), offsets)
+    rest = np.concatenate((flat[: offsets[lead]], flat[offsets[lead + 1] :]))
+    hit = own.take(np.searchsorted(own, rest), mode="clip") == rest
+    common = np.diff(np.concatenate(([0], np.cumsum(hit)))[ends])
     found = np.flatnonzero(_alike(common, n, n[lead]) & met & (part != part[lead]))
     return [(int(part[lead]), int(r)) for r in np.unique(part[found])]
 
@@ -192,12 +202,27 @@ def _forest(flat, offsets, part, leads, met):
     pairs of a family that have in common what all of the family has.
     """
     n = np.diff(offsets)
-    _, token, uses = np.unique(flat, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((token, uses[token], row))
+    # of numbers for each token few are held at a time, as a cell has millions
+    order = np.argsort(flat)
+    fresh = flat[order]
+    fresh = np.concatenate((np.ones(min(len(flat), 1), bool), fresh[1:] != fresh[:-1]))
+    uses = np.diff(np.append(np.flatnonzero(fresh), len(flat)))
+    rare = np.argsort(uses, kind="stable")
+    uses, rank = uses[rare], np.empty(len(uses), np.int32)
+    rank[rare] = np.arange(len(uses))
+    code = np.cumsum(fresh, dtype=np.int32)
+    code -= 1
+    token = np.empty(len(flat), np.int32)
+    token[order] = rank[code]
+    del order, fresh, code, rank, rare
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        token[a:b].sort()
     prefix = n - -(-n * LEAST[0] // LEAST[1]) + 1
-    kept = (np.arange(len(flat)) - np.repeat(offsets[:-1], n) < prefix[row]) & (uses[token[order]] > 1)
-    shared, owner = token[order][kept], row[kept]
+    prefix = np.minimum(prefix, n)  # the empty set has none
+    kept = np.repeat(np.tile([True, False], len(n)), np.stack((prefix, n - prefix), 1).ravel())
+    kept &= token >= np.searchsorted(uses, 2)
+    shared, owner = token[kept], np.repeat(np.arange(len(n), dtype=np.int32), n)[kept].astype(np.int64)
+    del kept
     by = np.argsort(shared, kind="stable")
     shared, owner = shared[by], owner[by]
     starts = np.flatnonzero(np.concatenate((np.ones(min(len(shared), 1), bool), shared[1:] != shared[:-1])))
@@ -238,7 +263,7 @@ def _cell_links(sets):
         part, leads, met = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("part", "leads", "met"))
         texts = rows.column("normal")
         ends = np.append(starts[1:], rows.num_rows)
-        size = np.concatenate(([0], np.cumsum(np.array([len(t) for t in texts.to_pylist()], np.int64))))
+        size = np.concatenate(([0], np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)))
         a, out = 0, []
         while a < len(starts):
             b = max(a + 1, int(np.searchsorted(size[ends], size[starts[a]] + PORTION, "right")))
@@ -301,6 +326,19 @@ def _star_cells(pending: DataFrame, sized: DataFrame) -> DataFrame:
     return lines.union(blocks.select(F.col("leader").alias("key"), zero.alias("i"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("j"), line, line.alias("part"), yes.alias("leads"), no.alias("met")))
 
 
+def _members(pending: DataFrame) -> DataFrame:
+    """(key, line) of the lines that have another of their key left to be compared with.
+
+    All pairs (line, leader) were compared, and those of a key connect its lines. Where
+    all lines but one were compared with one other only, that other is the one line, and
+    it was compared with all of them; of two lines of a key neither is left.
+    """
+    both = pending.select("key", "line", F.col("leader").alias("other")).union(pending.select("key", F.col("leader").alias("line"), F.col("line").alias("other")))
+    met = materialize(both.groupBy("key", "line").agg((F.min("other") != F.max("other")).alias("several")), "members")
+    left = met.groupBy("key").agg(F.count("*").alias("lines"), F.count_if("several").alias("centres")).where("lines > 2")
+    return met.join(left, "key").where("not several or centres > 1").select("key", "line")
+
+
 def _open_cells(members: DataFrame, part: DataFrame, sized: DataFrame) -> DataFrame:
     """Cells of the keys whose lines are in several parts: lines outside the largest part lead, all are met.
 
@@ -330,16 +368,15 @@ def similar(banded: DataFrame, texts_of, sets, keyed=None) -> DataFrame:
     ``texts_of`` takes lines (line) and gives their texts (line, normal), from which
     ``sets`` makes sorted sets of hashes. Lines of a key are compared with one of them
     first, and components follow. Then, in keys whose lines still lie in several, every
-    pair across components is settled, in cells of bounded size: none is given up, and
-    only links are handed on, never the pairs compared.
+    pair across components that was not compared yet is settled, in cells of bounded
+    size: none is given up, and only links are handed on, never the pairs compared.
     """
     pending = candidates(banded, keyed)
-    members = materialize(pending.select("key", "line").union(pending.select("key", F.col("leader").alias("line"))).distinct(), "members")
-    texts = materialize(texts_of(members.select("line").distinct()), "texts")
+    texts = materialize(texts_of(pending.select("line").union(pending.select("leader")).distinct()), "texts")
     sized = texts.select("line", F.length("normal").alias("chars"))
     part = components(_linked(_star_cells(pending, sized), texts, sets)).select(F.col("id").alias("line"), F.col("component").alias("part"))
     part = materialize(part, "parts")
-    merged = components(_linked(_open_cells(members, part, sized), texts, sets))
+    merged = components(_linked(_open_cells(_members(pending), part, sized), texts, sets))
     known = part.union(merged.select(F.col("id").alias("line"), F.col("id").alias("part")).join(part, "line", "left_anti"))
     named = known.join(merged.withColumnRenamed("id", "part"), "part", "left")
     return materialize(named.select(F.col("line").alias("id"), F.coalesce("component", "part").alias("component")), "found")

@@ -63,8 +63,13 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         done = ends[a - 1] if a else 0
         b = max(a + 1, int(np.searchsorted(ends, done + SLICE, "right")))
         step = _grams(np.frombuffer("".join(lines[a:b]).encode("utf-32-le", "surrogatepass"), np.uint32))
-        at = np.repeat(ends[a:b] - length[a:b] - done - offsets[a:b] + offsets[a], n[a:b]) + np.arange(offsets[b] - offsets[a])
-        out[offsets[a] : offsets[b]] = step[np.minimum(at, max(len(step) - 1, 0))] if len(step) else 0
+        inside, last, least = np.ones(len(step), bool), ends[a:b] - done - 1, ends[a:b] - length[a:b] - done
+        for k in range(SHINGLE_CHARS - 1):  # those that run over a line's end, but for the first of each line
+            inside[(last - k)[last - k > least]] = False
+        if length[a:b].all():
+            out[offsets[a] : offsets[b]] = step[inside]
+        else:  # an empty line has a place, but no character
+            out[np.flatnonzero(np.repeat(length[a:b] > 0, n[a:b])) + offsets[a]] = step[inside]
         a = b
     for i in np.flatnonzero(length < SHINGLE_CHARS):  # the whole line is the shingle
         out[offsets[i]] = _line_id(lines[i]) + (1 << 63)
@@ -141,8 +146,9 @@ def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = materialize(_keyed(docs).mapInArrow(_lines_of, LINES), "lines")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        first = lines.select("line", "doc_id", "print", "number").join(wanted, "line", "left_semi").groupBy("line").agg(F.min(F.struct("doc_id", "print", "number")).alias("first"))
-        by_row = first.select("line", "first.*").groupBy("doc_id", "print").agg(F.collect_list(F.struct("line", "number")).alias("wanted"))
+        # any place of a line will do; those with band keys are fewer
+        one = lines.where("bands is not null").select("line", "doc_id", "print", "number").join(wanted, "line", "left_semi").dropDuplicates(["line"])
+        by_row = one.groupBy("doc_id", "print").agg(F.collect_list(F.struct("line", "number")).alias("wanted"))
         whole = _keyed(docs).join(by_row.hint("shuffle_hash"), ["doc_id", "print"])
         return whole.select("text", "wanted").mapInArrow(_wanted_texts, "line long, normal string").dropDuplicates(["line"])
 

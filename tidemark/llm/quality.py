@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, mix64
+from .common import flat, hand_back, mix64
 
 #: Table of word vectors: hashed words, width of a vector, non-zero entries of an index vector.
 BUCKETS, WIDTH, NONZERO = 1 << 14, 64, 4
@@ -62,13 +62,13 @@ def word_vectors(tokens: DataFrame) -> np.ndarray:
     """The BUCKETS x WIDTH table of word vectors of the whole corpus; its size is fixed, whatever the input."""
     parts = tokens.select("ids").mapInArrow(_contexts, "bucket int, n long, v array<double>")
     summed = parts.groupBy("bucket").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(WIDTH)])
-    got = summed.toPandas()
+    got = summed.toArrow()
     table = np.zeros((BUCKETS, WIDTH), np.float32)
-    if len(got):
-        v = got[[f"v{i}" for i in range(WIDTH)]].to_numpy()
+    if got.num_rows:
+        v = np.column_stack([got.column(f"v{i}").to_numpy() for i in range(WIDTH)])
         v = np.sign(v) * np.log1p(np.abs(v))
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-        table[got["bucket"].to_numpy()] = v
+        table[got.column("bucket").to_numpy()] = v
     return table
 
 
@@ -181,8 +181,11 @@ def quality_model(docs: DataFrame, labels: DataFrame):
         order = np.argsort(rows.column("doc_id").to_numpy())
         x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(order), -1)
         network.fit(x[order].astype(np.float64), rows.column("quality").to_numpy()[order].astype(np.float64))
+        del x
     else:
         network.w2[:] = 0
+    del rows
+    hand_back(docs.sparkSession)
 
     @F.arrow_udf("double")
     def probability(tokens: pa.Array) -> pa.Array:
