@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import materialize, mix64, trim
 from .components import components
 
 #: Least similarity of linked sets, as a fraction, so that it is compared without rounding.
@@ -111,6 +111,8 @@ def _packed(buckets: int, keyed=None):
                 keys, lines, n = [], [], 0
         if n:
             yield from flushed(keys, lines)
+        keys = lines = None
+        trim()
 
     return mapped
 
@@ -298,6 +300,7 @@ def _cell_links(sets):
             rest = rows.slice(int(starts[-1]))
         if rest is not None and rest.num_rows:
             yield links(rest, np.zeros(1, np.int64))
+        trim()
 
     return mapped
 

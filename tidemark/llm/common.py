@@ -51,22 +51,30 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def trim() -> None:
+    """Give memory that this Python process has freed back to the system; a worker stays for the rest of the session."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another allocator
+        pass
+
+
 def hand_back(spark: SparkSession) -> None:
     """Give memory that the driver has freed back to the system, in Python and the JVM.
 
     Planning and exchanges take hundreds of threads, whose allocator keeps what each of
     them frees; a few milliseconds return it. Where there is no such call none is made.
     """
-    pa.default_memory_pool().release_unused()
+    trim()
     try:
-        ctypes.CDLL(None).malloc_trim(0)
         jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
         given = gateway.new_array(jvm.java.lang.Object, 4)
         given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
         server = jvm.java.lang.Class.forName("javax.management.MBeanServer")
         invoke = next(m for m in server.getMethods() if m.getName() == "invoke")
         invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
-    except Exception:  # another allocator, or a JVM without this command
+    except Exception:  # a JVM without this command
         pass
 
 

@@ -14,7 +14,7 @@ from .simhash import anchors, majority, shingle_hashes, words_of_lower
 
 #: Words of a shingle.
 SHINGLE_WORDS = 5
-#: Rows and bands of the signature, whose minima come from as many hashes: a pair at similarity 0.8 shares no band once in 10 billion.
+#: Rows and bands of the signature, whose minima are least and greatest of half as many hashes: a pair at similarity 0.8 shares no band once in 10 billion.
 ROWS, BANDS = 3, 32
 _BASE, _SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 #: Hashes whose fingerprints are taken at a time.

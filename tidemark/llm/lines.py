@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .alike import band_keys, minima, similar, sorted_sets
-from .common import documents, materialize, unused
+from .common import documents, materialize, trim, unused
 
 #: Characters of a shingle, and rows and bands of the signature: one of 1,900 pairs at similarity 0.8 shares no band.
 SHINGLE_CHARS, ROWS, BANDS = 8, 4, 12
@@ -117,6 +117,7 @@ def _lines_of(batches):
                 head = np.concatenate(([True], row[1:] != row[:-1]))
                 columns = [pa.array(name[which]), pa.array(np.array(ids, np.int64)[row]), pa.array(np.array(prints, np.int64)[row]), pa.array(np.array(number, np.int32)), pa.array(head), pa.array(own, pa.binary())]
                 yield pa.record_batch(columns, ["line", "doc_id", "print", "number", "head", "bands"])
+    trim()
 
 
 LINES = "line long, doc_id long, print long, number int, head boolean, bands binary"

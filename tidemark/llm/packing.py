@@ -16,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import trim
+
 #: Tokens of a full sequence, and the id that ends every document.
 CAPACITY, END_ID = 4096, 2
 #: Words whose ids a worker remembers; the memory is emptied beyond this many.
@@ -278,6 +280,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
                 yield from _rows(packer.take())
         packer.finish()
         yield from _rows(packer.take())
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(packed, PIECES)
 
